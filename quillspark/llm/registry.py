@@ -6,26 +6,75 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, mixing, quality_rules, simhash, url_filter
 from .common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("dup_ngram_chars")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op9_url_filter": op9_url_filter,
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op3_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix') AS turn,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+ranked AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight FROM totals),
+-- in order of what a source can give for its weight: the first k sources are capped
+tried AS (
+  SELECT *, 3.0::DOUBLE * source_size / weight AS most,
+         coalesce(sum(3 * source_size) OVER o, 0) AS fixed, sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source IS NULL, source
+           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM ranked
+  WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rate AS (
+  SELECT min_by((t.total - fixed) / CAST(open AS DOUBLE), most) AS r
+  FROM tried, (SELECT sum(source_size) AS total FROM totals) t
+  WHERE (t.total - fixed) / CAST(open AS DOUBLE) <= most),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN 3 * source_size < weight * r THEN CAST(3 * source_size AS DOUBLE) ELSE weight * r END AS target
+  FROM ranked, rate),
+flows AS (
+  SELECT s.doc_id, s.size, s.turn, t.source_size, t.target,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.turn, s.doc_id ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+queue AS (
+  SELECT doc_id, size, source_size, target,
+         sum(size) OVER (ORDER BY CAST(so_far + round * source_size AS DOUBLE) / nullif(target, 0) NULLS FIRST, turn, doc_id, round
+                         ROWS UNBOUNDED PRECEDING) AS played
+  FROM flows, (VALUES (0), (1), (2)) rounds(round))
+SELECT doc_id, size, source_size, target,
+       CAST(sum(CASE WHEN played <= (SELECT sum(source_size) FROM totals) THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM queue GROUP BY ALL""",
     "op4_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
