@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, quality_rules, simhash, token_files, url_filter
+from . import countmin_dedup, exact_dedup, language_id, mixing, packing, quality_rules, simhash, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -30,10 +31,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op6_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = countmin_dedup.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
@@ -48,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_files": op5_token_files,
+    "op6_countmin_substrings": op6_countmin_substrings,
     "op7_simhash": op7_simhash,
+    "op8_suffix_array": op8_suffix_array,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
