@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,39 +50,28 @@ def _loads(text: str):
 
 
 def _repaired(text: str) -> str | None:
-    """A cut-off value with its string and brackets closed."""
-    start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
-    if start < 0:
+    """A cut-off value with its string and brackets closed; only for a text that begins with one."""
+    if text[:1] not in ("{", "["):
         return None
-    end, open_, quoted = _scan(text, start)
+    end, open_, quoted = _scan(text, 0)
     if end is not None or not open_:
         return None
-    body = text[start:].rstrip()
-    if quoted:
-        body = (body[:-1] if body.endswith("\\") and not body.endswith("\\\\") else body) + '"'
-    body = body.rstrip().rstrip(",:").rstrip()
-    return body + "".join(reversed(open_))
+    return (text + '"' * quoted).rstrip(",: \t\r\n") + "".join(reversed(open_))
 
 
 def recover(text: str | None) -> str | None:
-    """The JSON in a text: the whole, what is fenced, the first balanced value that parses, or a repaired one; else null."""
+    """The JSON in a text: the whole, what is fenced, or the first balanced value that parses; else a repaired one; else null.
+
+    A value nested in a cut-off one comes before the repair of the whole.
+    """
     if text is None:
         return None
     whole = text.strip()
-    tried = [whole, *(m.strip() for m in _FENCE.findall(whole))]
-    for candidate in tried:
-        if candidate[:1] in ("{", "[") and _loads(candidate) is not None:
-            return candidate
-    at = 0
-    while (m := re.compile(r"[{\[]").search(whole, at)) is not None:
-        end, _, _ = _scan(whole, m.start())
-        if end is not None and _loads(whole[m.start() : end]) is not None:
-            return whole[m.start() : end]
-        at = m.start() + 1
-        if end is None and at > 200:  # a long unbalanced text: no later bracket closes either
-            break
-    fixed = _repaired(whole)
-    return fixed if fixed is not None and _loads(fixed) is not None else None
+    given = [whole, *(m.strip() for m in _FENCE.findall(whole))]
+    balanced = ((m.start(), _scan(whole, m.start())[0]) for m in re.finditer(r"[{\[]", whole))
+    inner = (whole[start:end] for start, end in balanced if end is not None)
+    fixed = (r for r in map(_repaired, given) if r is not None)
+    return next((c for c in chain(given, inner, fixed) if _loads(c) is not None), None)
 
 
 @F.pandas_udf(StringType())

@@ -41,8 +41,8 @@ def feed_union_sources(spark, sf):
 @query(
     "import_export_roundtrip",
     with_views(
-        r"""SELECT 'note' AS type, date_trunc('minute', note_ts) AS ts, sha1(list_aggregate(list_filter(list_transform(string_split(content, chr(10)), x -> trim(x)),
-  x -> x <> '' AND NOT starts_with(x, '===') AND NOT starts_with(x, 'Total messages') AND NOT starts_with(x, 'Notes found') AND NOT starts_with(x, 'Exported')), 'string_agg', chr(10))) AS content_sha1 FROM notes""",
+        r"""SELECT 'note' AS type, date_trunc('minute', note_ts) AS ts, sha1(list_aggregate(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)),
+  lambda x: x <> '' AND NOT starts_with(x, '===') AND NOT starts_with(x, 'Total messages') AND NOT starts_with(x, 'Notes found') AND NOT starts_with(x, 'Exported')), 'string_agg', chr(10))) AS content_sha1 FROM notes""",
         "notes",
     ),
 )
@@ -57,7 +57,7 @@ def import_export_roundtrip(spark, sf):
 @query(
     "import_long_dates",
     with_views(
-        r"""SELECT date_trunc('minute', note_ts) AS ts, sha1(list_aggregate(list_filter(list_transform(string_split(content, chr(10)), x -> trim(x)), x -> x <> ''), 'string_agg', chr(10))) AS content_sha1 FROM notes""",
+        r"""SELECT date_trunc('minute', note_ts) AS ts, sha1(list_aggregate(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', chr(10))) AS content_sha1 FROM notes""",
         "notes",
     ),
 )
@@ -100,10 +100,11 @@ def _model_output(spark, sf):
     shaped = (
         F.when(F.col("seq") % 4 == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
         .when(F.col("seq") % 4 == 1, F.concat(F.lit("Here it is: "), obj, F.lit(" Done.")))
-        .when(F.col("seq") % 4 == 2, F.expr("substring(obj, 1, length(obj) - 1)"))
+        .when(F.col("seq") % 4 == 2, F.expr("substring(plain, 1, length(plain) - 1)"))
         .otherwise(F.lit("no json"))
     )
-    return _turns(spark, sf).withColumn("obj", obj).select("conv_id", "seq", "role", "content", shaped.alias("output"))
+    plain = F.to_json(F.struct(F.col("role").alias("objective"), F.col("content").alias("summary")))
+    return _turns(spark, sf).withColumn("obj", obj).withColumn("plain", plain).select("conv_id", "seq", "role", "content", shaped.alias("output"))
 
 
 @query(
@@ -119,7 +120,7 @@ def json_recover(spark, sf):
     "explore_normalise",
     """SELECT conv_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN 'none' ELSE role END AS objective,
   CASE WHEN turn % 4 = 3 OR trim(text) = '' THEN sha1('No summary generated.') ELSE sha1(trim(text, ' ' || chr(10) || chr(9) || chr(13))) END AS summary_sha1,
-  CASE WHEN turn % 4 = 3 THEN 0 ELSE 1 END AS questions FROM conversations""",
+  CASE WHEN turn % 4 >= 2 THEN 0 ELSE 1 END AS questions FROM conversations""",
 )
 def explore_normalise(spark, sf):
     found = model_json.recover_json(_model_output(spark, sf), "output")

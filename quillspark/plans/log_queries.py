@@ -21,14 +21,14 @@ def _delta(spark: SparkSession, sf: str) -> DataFrame:
     m = views.messages(spark, sf)
     asked = m.filter("type = 'question'")
     again = asked.withColumn("content", F.concat(F.lit("again: "), "content"))
-    answered = asked.select(F.concat(F.lit("r-"), "id").alias("id"), F.upper("content").alias("content"), F.lit("ai-response").alias("type"), "ts", F.lit("new").alias("source"))
+    answered = asked.select(F.concat(F.lit("r-"), "id").alias("id"), F.concat(F.lit("answer: "), "content").alias("content"), F.lit("ai-response").alias("type"), "ts", F.lit("new").alias("source"))
     return again.unionByName(answered)
 
 
 DELTA = """delta AS (
   SELECT id, 'again: ' || content AS content, type, ts, source FROM messages WHERE type = 'question'
   UNION ALL
-  SELECT 'r-' || id, upper(content), 'ai-response', ts, 'new' FROM messages WHERE type = 'question')"""
+  SELECT 'r-' || id, 'answer: ' || content, 'ai-response', ts, 'new' FROM messages WHERE type = 'question')"""
 
 
 @query("log_scan", with_views("SELECT id, type, ts, source, sha1(content) AS content_sha1 FROM messages", "messages"))
@@ -266,6 +266,6 @@ def state_document_ids(spark, sf):
     return views.fact_events(spark, sf).select("state_key").distinct().withColumn("document_id", document_id(F.col("state_key")))
 
 
-@query("log_time_order", with_views("SELECT id, CAST(epoch_ms(ts) AS BIGINT) AS ms FROM messages", "messages"))
+@query("log_time_order", with_views("SELECT id, epoch_us(ts) // 1000 AS ms FROM messages", "messages"))
 def log_time_order(spark, sf):
     return log.chronological(views.messages(spark, sf), "id").select("id", millis(F.col("ts")).alias("ms"))
