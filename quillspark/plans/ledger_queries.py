@@ -9,6 +9,7 @@ from ..functions.text import collapse, join_nonempty, stamp
 from ..operators import drafts, ledger, render
 from ..sources import views
 from ..sources.views import with_views
+from ..storage import running_sum
 from .registry import query
 
 FACT = "fact_id, source_note_id, state_key, value_text, polarity, as_of, confidence"
@@ -98,14 +99,9 @@ PACKED = "packed AS (SELECT rank, state_key, line, CAST(chars AS BIGINT) AS char
 
 @query("state_display_order", with_views(f"WITH {LINES} SELECT rank, state_key, line FROM lines", "current_state"))
 def state_display_order(spark, sf):
-    from pyspark.sql import Window
-
     s = ledger.current_state(_facts(spark, sf)).withColumn("display", ledger.display_rank())
-    s = s.withColumn("line", render.state_line(s))
-    # a rank over all keys: within each display class, plus the sizes of the classes before it
-    before = s.groupBy("display").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("display").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("display").orderBy(F.col("as_of").desc(), "state_key"))
-    return s.withColumn("within", within).join(F.broadcast(before), "display").select((F.col("before") + F.col("within")).alias("rank"), "state_key", "line")
+    s = s.select("display", (-F.unix_micros(F.col("as_of").cast("timestamp"))).alias("age"), "state_key", render.state_line(s).alias("line"), F.lit(1).cast("long").alias("one"))
+    return running_sum(s, ["display", "age", "state_key"], "one", "rank", "display").select("rank", "state_key", "line")
 
 
 @query("pack_prefix_state", with_views(f"WITH {LINES}, {PACKED.format(12000)} SELECT * FROM packed", "current_state"))
