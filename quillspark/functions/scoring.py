@@ -43,7 +43,7 @@ def recency(ts: Column, now_ms: int, profile: Profile) -> Column:
     days = F.greatest(F.lit(0), F.lit(now_ms) - millis(ts)) / F.lit(86400000.0)
     base = 1 / (1 + days / F.lit(float(profile.half_life_days)))
     boosted = F.when(days <= profile.recent_window_days, F.least(F.lit(1.0), base + RECENT_BONUS)).otherwise(base)
-    return F.coalesce(boosted, F.lit(0.0))
+    return F.when(ts.isNotNull(), boosted).otherwise(F.lit(0.0))  # greatest() passes over null
 
 
 def is_recent(score: Column) -> Column:
