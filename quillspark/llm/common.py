@@ -1,16 +1,14 @@
-"""Shared pieces: reading tables, cutting lineage, global running sums, words."""
+"""Shared pieces: reading tables, text columns, words."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, new_path, running_sum, shuffle_width
+
+__all__ = ["WORD", "ascii_lower", "cut", "id_key", "new_path", "running_sum", "shuffle_width", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -21,53 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a temporary folder is
-    set and removed at exit.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="quillspark-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(hadoop_path)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The result no longer depends on earlier shuffles, so a lost executor costs
-    a re-read only, and nothing upstream is computed twice.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`new_path` before the application ends."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does the same, faster, to pure ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -76,34 +27,3 @@ def ascii_lower(text: Column) -> Column:
 def id_key(column: Column) -> Column:
     """A document id that joins: null becomes the smallest long."""
     return F.coalesce(column.cast("long"), F.lit(-(2**63)))
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def running_sum(df: DataFrame, order: Sequence[str], value: str, out: str, label: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows up to and with this one in ``order``.
-
-    ``order`` should be unique, else rows that tie share no defined order.  The
-    rows are range-partitioned and sorted once; each partition's total (one
-    number per partition) goes through the driver and comes back as an offset.
-    No task sees more than its own range.
-    """
-    spark = df.sparkSession
-    n = shuffle_width(spark)
-    ranged = (
-        df.repartitionByRange(n, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .transform(lambda d: cut(d, f"{label}-ranged"))
-    )
-    totals = {r["_part"]: r["t"] or 0 for r in ranged.groupBy("_part").agg(F.sum(value).alias("t")).collect()}
-    before, so_far = [], 0
-    for p in range(max(totals, default=0) + 1):
-        before.append(so_far)
-        so_far += totals.get(p, 0)
-    from pyspark.sql import Window
-
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
-    return ranged.withColumn(out, F.sum(value).over(local) + F.element_at(offsets, F.col("_part") + 1)).drop("_part")
