@@ -57,7 +57,8 @@ def _name_blocks(docs: DataFrame, block_bytes: int, key) -> DataFrame:
     """
     spark = docs.sparkSession
     names = cut(_numbered(_blocks(docs, block_bytes, key).select("h", "block"), ["h", "block"]).select("h", "name"), "block-names")
-    by_key = names.groupBy("h").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("blocks"))
+    # written, so that the join below reads plain exchanges, which adaptive execution can split at a hot key
+    by_key = cut(names.groupBy("h").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("blocks")), "names-by-key")
     rows = _blocks(docs, block_bytes, key)
     out = rows.drop("block").join(by_key.filter("blocks = 1").select("h", "name"), "h").drop("h")
     shared = by_key.filter("blocks > 1").select("h")
@@ -109,7 +110,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) -> Da
     An empty table gives no rows; other columns are ignored.
     """
     names = cut(document_names(docs, block_bytes, key), "document-names")
-    groups = names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return names.join(groups, ["level", "name"]).select(
         "doc_id",
         "keep_id",

@@ -21,6 +21,8 @@ WINDOW_BYTES = 400
 #: Of a window's first so many positions one owns it; about 2 / (REACH + 1) of all positions own windows.
 REACH = 128
 LEAD = 8
+#: Bytes of text hashed at once: a window's owner takes some ten 8-byte numbers for each byte.
+CHUNK = 1 << 20
 
 
 def _reach(window: int) -> int:
@@ -43,7 +45,7 @@ def suffixes(docs: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             d, t = batch["d"].to_numpy(), batch["t"].to_numpy()
-            for first, run in chunked([bytes(b) for b in batch["_bytes"]]):
+            for first, run in chunked([bytes(b) for b in batch["_bytes"]], CHUNK):
                 text = Texts(run)
                 n = len(text.buf)
                 padded = np.concatenate([text.buf, np.zeros(LEAD, np.uint8)])
