@@ -141,6 +141,12 @@ def json_loose_object(spark, sf):
     return out.select("conv_id", "seq", F.get_json_object(model_json.loose_object(F.col("output")), "$.objective").alias("objective"))
 
 
+@query("json_loose_object_all", "SELECT conv_id, turn AS seq, CASE WHEN turn % 4 IN (0, 1) THEN role END AS objective FROM conversations")
+def json_loose_object_all(spark, sf):
+    """Cut-off outputs too: null, as their closing brace is missing."""
+    return _model_output(spark, sf).select("conv_id", "seq", F.get_json_object(model_json.loose_object(F.col("output")), "$.objective").alias("objective"))
+
+
 @query("message_contents", "SELECT conv_id, turn AS seq, sha1(role || text) AS sha FROM conversations")
 def message_contents(spark, sf):
     part = lambda c: F.struct(F.col(c).alias("text"))
