@@ -54,9 +54,10 @@ def word_count(text: Column) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """mm:ss."""
+    """mm:ss, with more digits from 100 minutes on; null and negative values count as 0."""
     whole = F.floor(F.greatest(seconds, F.lit(0)))
-    return F.concat(F.lpad(F.floor(whole / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+    two = lambda n: F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    return F.concat(two(F.floor(whole / 60)), F.lit(":"), two(whole % 60))
 
 
 def document_id(state_key: Column) -> Column:

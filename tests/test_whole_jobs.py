@@ -22,3 +22,10 @@ def test_loose_object_of_truncated_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(model_json.loose_object(F.col("t"))).collect()]
     assert got == [None, None, None, texts[3]]
+
+
+def test_js_numbers_labels_every_value(spark, tmp_path):
+    values = [0.0, 125.7, 5999.0, 6000.0, 60061.5, -3.0, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["duration"] for r in catalog.QUERIES["js_numbers"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(["00:00", "02:05", "99:59", "100:00", "1001:01", "00:00", "00:00"]))
