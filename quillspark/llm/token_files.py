@@ -61,6 +61,8 @@ class FileWriter:
         self.index: list[bytes] = []
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >= 1 << 8 * self.width:
+            raise ValueError(f"token id {ids.max()} does not fit in {self.width} bytes")
         raw = ids.astype(f"<u{self.width}").tobytes()
         frame = self.compressor.compress(raw)
         self.out.write(frame)
