@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -71,20 +72,21 @@ class BestFit:
 def pieces(docs: DataFrame, tokenizer: str, spaces: str, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of each row's ids and its end id."""
     ship(docs.sparkSession)
-    end, size = end_id.to_bytes(4, "little"), 4 * sequence_tokens
+    end = np.array([end_id], np.uint32)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer, spaces)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                rows = [
-                    (doc, i // size, i // 4, len(ids[i : i + size]) // 4, zlib.crc32(ids[i : i + size]))
-                    for doc, ids in zip(part["doc_id"].array, enc.encode(["" if t is None else t for t in part["text"]]), strict=True)
-                    for ids in (ids + end,)
-                    for i in range(0, len(ids), size)
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows = []
+            for doc, ids in zip(batch["doc_id"].array, enc.encode("" if t is None else t for t in batch["text"]), strict=True):
+                if len(ids) < sequence_tokens:
+                    rows.append((doc, 0, 0, len(ids) + 1, zlib.crc32(end, zlib.crc32(ids))))
+                    continue
+                ids = np.append(ids, end)
+                for piece, at in enumerate(range(0, len(ids), sequence_tokens)):
+                    part = ids[at : at + sequence_tokens]
+                    rows.append((doc, piece, at, len(part), zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(split, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ..shipping import ship
 from .common import cut, id_key, new_path, shuffle_width
@@ -43,7 +45,7 @@ CHECKSUM_FLAG = 0x80
 INDEX_FRAME_MAGIC = 0x184D2A50
 
 END_ID = 0
-LEVEL = 3
+LEVEL = 1
 
 
 def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -57,22 +59,22 @@ class FileWriter:
     def __init__(self, out, width: int, level: int = LEVEL):
         self.out, self.width = out, width
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
-        self.seek: list[bytes] = []
-        self.index: list[bytes] = []
+        self.seek = array("I")
+        self.index = array("q")
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
-        if len(ids) and int(ids.max()) >= 1 << 8 * self.width:
+        if ids.dtype.itemsize > self.width and len(ids) and int(ids.max()) >= 1 << 8 * self.width:
             raise ValueError(f"token id {ids.max()} does not fit in {self.width} bytes")
-        raw = ids.astype(f"<u{self.width}").tobytes()
+        raw = ids.astype(f"<u{self.width}", copy=False).tobytes()
         frame = self.compressor.compress(raw)
         self.out.write(frame)
-        self.seek.append(struct.pack("<III", len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-        self.index.append(struct.pack("<qq", doc_id, len(ids)))
+        self.seek.extend((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+        self.index.extend((doc_id, len(ids)))
 
     def close(self) -> None:
-        index = struct.pack("<B7x", self.width) + b"".join(self.index)
+        index = struct.pack("<B7x", self.width) + np.frombuffer(self.index, np.int64).astype("<i8").tobytes()
         self.out.write(struct.pack("<II", INDEX_FRAME_MAGIC, len(index)) + index)
-        table = b"".join(self.seek) + struct.pack("<IBI", len(self.seek), CHECKSUM_FLAG, SEEK_MAGIC)
+        table = np.frombuffer(self.seek, np.uint32).astype("<u4").tobytes() + struct.pack("<IBI", len(self.seek) // 3, CHECKSUM_FLAG, SEEK_MAGIC)
         self.out.write(struct.pack("<II", SEEK_FRAME_MAGIC, len(table)) + table)
 
 
@@ -95,6 +97,7 @@ class FileReader:
             raise ValueError("not a token-id file: no document index")
         self.width = self._at(head + 8, 1)[0]
         self.index = np.frombuffer(self._at(head + 16, 16 * n), "<i8").reshape(n, 2)
+        self.decompressor = zstandard.ZstdDecompressor()
         self.places = np.concatenate([[0], np.cumsum(self.frames[:, 0], dtype=np.int64)])
 
     def _at(self, place: int, size: int) -> bytes:
@@ -104,7 +107,7 @@ class FileReader:
     def ids(self, i: int) -> np.ndarray:
         """The ids of the file's document ``i``; its frame is checked."""
         size, raw_size, check = map(int, self.frames[i])
-        raw = zstandard.ZstdDecompressor().decompress(self._at(int(self.places[i]), size), max_output_size=raw_size)
+        raw = self.decompressor.decompress(self._at(int(self.places[i]), size), max_output_size=raw_size)
         if len(raw) != raw_size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {i} is damaged")
         return np.frombuffer(raw, f"<u{self.width}")
@@ -115,33 +118,37 @@ class FileReader:
         return {int(d): self.ids(i) for i, d in enumerate(self.index[:, 0].tolist()) if d in wanted}
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
+def id_width(tokenizer: str, end_id: int = END_ID) -> int:
+    """Bytes that hold every id of a tokenizers file, and the end id: 2 or 4."""
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: str, end_id: int = END_ID, width: int | None = None) -> DataFrame:
     """Write all documents in ascending doc_id order; gives the manifest (part, path, n_docs, n_tokens).
 
     Ranges of doc_id are sorted and written by a task each, ``part`` in order.
     A file gets a name of its own for each attempt, and only the manifest, which
     is written after, says which count: a lost or repeated task leaves at most a
-    file that nothing reads.  ``folder`` may be any store that pyarrow opens.
+    file that nothing reads.  Ids are as wide (``width``) as the tokenizer's
+    largest needs.  ``folder`` may be any store that pyarrow opens.
     """
     spark = docs.sparkSession
     ship(spark)
+    width = width or id_width(tokenizer, end_id)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part = encoder(tokenizer, spaces), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, spaces, width), TaskContext.get().partitionId()
         fs, place = open_store(folder)
         fs.create_dir(place, recursive=True)
         path = f"{place}/part-{part:06d}-{uuid.uuid4().hex}.tok.zst"
         n_docs = n_tokens = 0
-        end = np.array([end_id], np.uint32)
+        end = np.array([end_id], f"<u{width}")
         with fs.open_output_stream(path, compression=None) as out:
             writer = FileWriter(out, width)
             for batch in batches:
-                for at in range(0, len(batch), 256):
-                    some = batch.iloc[at : at + 256]
-                    for doc, ids in zip(some["_id"].tolist(), enc.encode(some["text"].tolist()), strict=True):
-                        all_ids = np.concatenate([np.frombuffer(ids, np.uint32), end])
-                        writer.add(doc, all_ids)
-                        n_docs, n_tokens = n_docs + 1, n_tokens + len(all_ids)
+                for doc, ids in zip(batch["_id"].tolist(), enc.encode(batch["text"]), strict=True):
+                    writer.add(doc, np.append(ids, end))
+                    n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) + 1
             writer.close()
         if n_docs:
             yield pd.DataFrame({"part": [part], "path": [path.rsplit("/", 1)[1]], "n_docs": [n_docs], "n_tokens": [n_tokens]})
@@ -164,7 +171,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
             for path, first in zip(batch["path"], batch["first"], strict=True):
                 with fs.open_input_file(f"{place}/{path}") as source:
                     file = FileReader(source)
-                    crcs = [zlib.crc32(file.ids(i).astype("<u4").tobytes()) for i in range(len(file.index))]
+                    crcs = [zlib.crc32(file.ids(i).astype("<u4")) for i in range(len(file.index))]
                     sizes = file.index[:, 1]
                     yield pd.DataFrame({"_id": file.index[:, 0], "start": first + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": crcs})
 

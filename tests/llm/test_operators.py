@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from quillspark.llm import (
     countmin_dedup,
@@ -133,10 +133,25 @@ def test_piece_encoder_is_the_tokenizer(file, spaces):
     odd = ["a  b", "  x", " lead", "t\t x\n y", "it's, o'k 's ''s", "a) , b.", "<|endoftext|> a", "é́ x", "ΑΣ ΣΑΣ", "a\u00a0 b", "", " ", "\n", "a\x1c b", "ha " * 50, "😀 a😀 b", "İ İx", "é, x. b'. ,. 中, Ⅷ, aʰ,"]
     odd += [t or "" for _, t in texts()]
     plain = Tokenizer.from_file(tokens.vocabulary(file))
-    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(odd, add_special_tokens=False)]
-    enc = tokens.PieceEncoder(tokens.vocabulary(file), spaces)
-    assert enc.encode(odd) == want
-    assert enc.encode(odd[::-1]) == want[::-1]
+    odd += ["\nlead", "x\n", "a\n\nb", "a \nb", "a\n b", "a\nb,\nC.\nd", "a\u00a0b\nc d", "\u00a0a b", "é\nÉté, ß.", "\n", "\n\n", "a\n", ",", "a\n,b"]
+    want = [e.ids for e in plain.encode_batch(odd, add_special_tokens=False)]
+    for width in (2, 4):
+        enc = tokens.PieceEncoder(tokens.vocabulary(file), spaces, width)
+        assert [ids.tolist() for ids in enc.encode(odd)] == want
+        assert [ids.tolist() for ids in enc.encode(odd[::-1])] == want[::-1]  # from the cache
+
+
+def test_piece_encoder_refuses_other_kinds_and_widths(tmp_path):
+    path = str(tmp_path / "words.json")
+    tiny = Tokenizer(models.WordLevel({"ab, cd. ef": 0, "[UNK]": 1}, unk_token="[UNK]"))
+    tiny.save(path)
+    with pytest.raises(ValueError, match="cut words"):
+        tokens.PieceEncoder(path, "drop")
+    wide = str(tmp_path / "wide.json")
+    Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0")).save(wide)
+    with pytest.raises(ValueError, match="do not fit"):
+        tokens.PieceEncoder(wide, "drop", 2)
+    assert token_files.id_width(wide) == 4 and token_files.id_width(path) == 2 and token_files.id_width(path, 1 << 16) == 4
 
 
 # 2 quality ------------------------------------------------------------------
