@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, new_path, running_sum, shuffle_width
 
-__all__ = ["WORD", "ascii_lower", "cut", "id_key", "new_path", "running_sum", "shuffle_width", "table"]
+__all__ = ["WORD", "ascii_lower", "cut", "heads_of", "id_key", "new_path", "rows_of", "running_sum", "shuffle_width", "table", "text_key"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -27,3 +27,35 @@ def ascii_lower(text: Column) -> Column:
 def id_key(column: Column) -> Column:
     """A document id that joins: null becomes the smallest long."""
     return F.coalesce(column.cast("long"), F.lit(-(2**63)))
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
+    """One row of ``docs`` for each row of ``kept`` (_id, _key, copies), columns as they were.
+
+    ``_id`` is the ``id_key`` of a row's doc_id and ``_key`` its ``key``;
+    ``copies`` rows share both.  Only where there are several, the largest row is
+    taken, by a maximum that is combined before the shuffle.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), id_key(F.col("doc_id")).alias("_id"), key.alias("_key"))
+    once = keyed.join(kept.filter("copies = 1"), ["_id", "_key"], "left_semi").select("_row.*")
+    repeats = kept.filter("copies > 1")
+    if repeats.isEmpty():
+        return once
+    several = keyed.join(repeats, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.max("_row").alias("_row"))
+    return once.unionByName(several.select("_row.*"))
+
+
+def text_key() -> Column:
+    """A key of the row's text; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def heads_of(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``components`` (doc_id, text_key, root), columns as they were.
+
+    It is the row of the smallest doc_id (null is the smallest); of rows that
+    share it, that of the smallest text key; of rows that repeat both, the largest.
+    """
+    same = components.groupBy("root", id_key(F.col("doc_id")).alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("copies"))
+    heads = same.groupBy("root").agg(F.min(F.struct("_id", "_key", "copies")).alias("head")).select("head.*")
+    return rows_of(docs, cut(heads, "heads"), text_key())

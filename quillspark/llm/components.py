@@ -13,12 +13,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
     large: neighbours above the node; small: those below, and the node itself.
     Only minima are aggregated, so a node with very many neighbours is combined
-    before the shuffle and its join can be split.
+    before the shuffle; the minima are written first, so both sides of the join
+    are plain exchanges that adaptive execution can split at a hot node.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-minima")
     hung = both.join(low, "u")
     if large:
         out = hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

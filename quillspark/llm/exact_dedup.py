@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, id_key, rows_of
 
 #: Bytes in a block; most documents are one block long.
 BLOCK_BYTES = 4096
@@ -71,56 +71,71 @@ def _name_blocks(docs: DataFrame, block_bytes: int, key) -> DataFrame:
 
 
 def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) -> DataFrame:
-    """(doc_id, sha, level, name) for each row of ``docs``; equal (level, name) means equal normalised text."""
+    """(doc_id, sha, level, name, copies); equal (level, name) means equal normalised text.
+
+    Rows of ``docs`` that repeat doc_id and text are one row here, with their number in ``copies``.
+    """
     key = key or (lambda block: F.xxhash64(block))
-    named = _name_blocks(docs, block_bytes, key)
+    named = _name_blocks(docs, block_bytes, key).withColumn("copies", F.lit(1).cast("long"))
     level, done = 0, []
     while True:
-        done.append(named.filter("n = 1").select("doc_id", "sha", F.lit(level).alias("level"), "name"))
+        done.append(named.filter("n = 1").select("doc_id", "sha", F.lit(level).alias("level"), "name", "copies"))
         left = named.filter("n > 1")
         if left.isEmpty():
             break
         level += 1
-        # doc_id and sha tell documents apart here; rows that repeat both are one document
+        even = F.col("i") % 2 == 0
         pairs = cut(
             left.groupBy("doc_id", "sha", "n", F.expr("i div 2").cast("int").alias("i")).agg(
-                F.min(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("a"),
-                F.min(F.when(F.col("i") % 2 == 1, F.col("name"))).alias("b"),
+                F.min(F.when(even, F.col("name"))).alias("a"),
+                F.min(F.when(~even, F.col("name"))).alias("b"),
+                F.sum(F.when(even, F.col("copies"))).alias("copies"),
             ),
             "pairs",
         ).withColumn("single", F.col("b").isNull()).withColumn("b", F.coalesce("b", F.lit(0)))
         names = cut(_numbered(pairs, ["a", "b", "single"]), "pair-names")
         named = cut(
-            pairs.join(names, ["a", "b", "single"]).select("doc_id", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), "i", "name"),
+            pairs.join(names, ["a", "b", "single"]).select("doc_id", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), "i", "name", "copies"),
             "named-pairs",
         )
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    # one-block rows never pass a grouping; make repeats of a row one document there too
-    return out.distinct()
+    return out.groupBy("doc_id", "sha", "level", "name").agg(F.sum("copies").alias("copies"))
+
+
+def _judged(docs: DataFrame, block_bytes: int, key) -> DataFrame:
+    """(doc_id, sha, copies, keep_id, group_size) for each distinct doc_id and text."""
+    names = cut(document_names(docs, block_bytes, key), "document-names")
+    groups = cut(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    return names.join(groups, ["level", "name"]).select("doc_id", "sha", "copies", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
-    Of equal texts the largest doc_id stays.  Rows that repeat both doc_id and
-    text are one document and give one row.  A null doc_id is the smallest.
-    An empty table gives no rows; other columns are ignored.
+    Of equal texts the row with the largest doc_id stays; where rows repeat that
+    doc_id and the text, one of them stays, and all of them count.  A null doc_id
+    is the smallest.  An empty table gives no rows; other columns are ignored.
     """
-    names = cut(document_names(docs, block_bytes, key), "document-names")
-    groups = cut(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return names.join(groups, ["level", "name"]).select(
+    judged = _judged(docs, block_bytes, key)
+    every = judged.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_copy", "_"))
+    return every.select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 0)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def keep_exact(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that :func:`exact_dedup` drops; all columns as they were."""
-    kept = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def keep_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) -> DataFrame:
+    """``docs`` without the rows that :func:`exact_dedup` drops; all columns as they were.
+
+    Of rows that repeat the doc_id and the text that stay, the one whose columns
+    are the largest stays.
+    """
+    kept = cut(_judged(docs, block_bytes, key).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(id_key(F.col("doc_id")).alias("_id"), F.col("sha").alias("_key"), "copies"), "kept")
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    return rows_of(docs, kept, sha)

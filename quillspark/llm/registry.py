@@ -156,7 +156,7 @@ FROM queue GROUP BY ALL""",
     "op4_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm)""",
     "op9_url_filter": f"""
 WITH p AS (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -18,6 +19,7 @@ from quillspark.llm import (
     exact_dedup,
     language_id,
     mixing,
+    near_dedup,
     packing,
     quality_rules,
     simhash,
@@ -264,8 +266,34 @@ def test_exact_dedup(docs, block, collide):
 def test_exact_dedup_edges(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     some = docs.filter("doc_id < 4")
-    assert exact_dedup.exact_dedup(some.union(some)).count() == 4  # full repeats are one document
-    assert exact_dedup.keep_exact(docs).columns == docs.columns
+    twice = exact_dedup.exact_dedup(some.union(some)).collect()  # each row counts, one of the repeats stays
+    assert len(twice) == 8 and {r["group_size"] for r in twice} == {2} and sum(r["kept"] for r in twice) == 4
+    assert exact_dedup.keep_exact(empty).count() == 0
+
+
+KEEPERS = {"exact": exact_dedup.keep_exact, "simhash": simhash.keep_one_of_each, "near": near_dedup.keep_one_of_each}
+
+
+@pytest.mark.parametrize("name", KEEPERS)
+def test_one_row_of_each_group_stays(spark, name):
+    """Rows that repeat a doc_id, with the same text or another."""
+    a, b, c = (prose(random.Random(i), 80).replace("é", "e") for i in (1, 2, 3))
+    rows = [(1, a), (1, a), (5, b), (5, c), (9, b.upper()), (7, ""), (7, None), (None, c)]
+    df = spark.createDataFrame([(*r, "copies", i) for i, r in enumerate(rows)], "doc_id long, text string, _key string, copies int").repartition(3)
+    kept = KEEPERS[name](df)
+    assert kept.columns == df.columns
+    low_first = name != "exact"
+    want = {(1, a), (5, b) if low_first else (9, b.upper()), (None, c) if low_first else (5, c)}
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    assert got == sorted([*((d or 0, t.lower()) for d, t in want), (7, "")])
+
+
+def test_keep_exact_against_brute_force(docs):
+    groups = defaultdict(list)
+    for d, t in texts():
+        groups[low(t)].append(-1 if d is None else d)
+    got = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in exact_dedup.keep_exact(docs).collect())
+    assert got == sorted(map(max, groups.values()))
 
 
 # 5 token files --------------------------------------------------------------
@@ -306,6 +334,13 @@ def test_token_file_reads_only_what_is_asked_and_checks_it(tmp_path):
         token_files.FileReader(source).ids(0)
 
 
+def test_token_ids_that_do_not_fit_are_refused():
+    writer = token_files.FileWriter(io.BytesIO(), 2)
+    with pytest.raises(ValueError, match="65536"):
+        writer.add(1, np.array([1, 65536], "<u4"))
+    token_files.FileWriter(io.BytesIO(), 4).add(1, np.array([1, 65536], "<u4"))
+
+
 # 6 and 8 substring dedup ----------------------------------------------------
 
 
@@ -400,7 +435,8 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
     null = [r for r in simhash.near_duplicates(docs).collect() if r["doc_id"] is None]
     assert len(null) == 1 and null[0]["component_id"] is None
-    assert simhash.keep_one_of_each(docs).columns == docs.columns
+    kept = sorted(r["doc_id"] for r in simhash.keep_one_of_each(some).collect())
+    assert kept == sorted(set(groups.values()))
 
 
 @pytest.mark.parametrize("heavy", [3, 10**6])
@@ -421,6 +457,28 @@ def test_simhash_links(spark, heavy):
     assert set(got) == want and set(got.values()) == {1}
 
 
+def test_simhash_tally_rejects_pairs(spark):
+    """Pairs that a list brings together but that share too few positional bytes, before any distance is taken."""
+    a = 0x0123456789ABCDEF
+    others = {a ^ 1: 7, a ^ (1 | 1 << 63): 6, a ^ 0x30000: 7, a ^ 0x010100000001: 5, a ^ 0x0101010101010100: 1}
+    signed = lambda p: p - 2**64 if p >= 2**63 else p
+    pairs = spark.createDataFrame([(a, signed(b)) for b in others], "a long, b long")
+    kept = {r["b"]: r["shared"] for r in simhash.tallied(pairs).collect()}
+    assert kept == {signed(b): n for b, n in others.items() if n >= 6}
+    assert simhash.verified(simhash.tallied(pairs)).count() == 3
+
+
+def test_simhash_wider(spark):
+    r = random.Random(8)
+    seeds = [r.getrandbits(63) for _ in range(3)]
+    prints = sorted({s ^ sum(1 << r.randrange(63) for _ in range(r.randint(0, 3))) for s in seeds for _ in range(60)})
+    got = Counter((x["a"], x["b"]) for x in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 64, 3).collect())
+    assert set(got.values()) == {1}
+    assert set(got) == {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 3}
+    with pytest.raises(ValueError, match="max_bits"):
+        simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 64, 4)
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
