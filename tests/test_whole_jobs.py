@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.token_files import FileWriter
 from quillspark.operators import model_json
 from quillspark.plans import catalog
 
@@ -34,10 +29,3 @@ def test_js_numbers_labels_every_value(spark, tmp_path):
     spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: r["duration"] for r in catalog.QUERIES["js_numbers"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(["00:00", "02:05", "99:59", "100:00", "1001:01", "00:00", "00:00"]))
-
-
-def test_token_ids_that_do_not_fit_are_refused():
-    writer = FileWriter(io.BytesIO(), 2)
-    with pytest.raises(ValueError, match="65536"):
-        writer.add(1, np.array([1, 65536], "<u4"))
-    FileWriter(io.BytesIO(), 4).add(1, np.array([1, 65536], "<u4"))
