@@ -12,8 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, cut
@@ -25,15 +27,16 @@ WORD_BITS = 32
 
 BLOCK_RULES = ("net/", "example.com/de/")
 ALLOW_RULES = ("example.net/en/", "org/fr/")
-#: Hosts that no rule decides are blocked when they, or a domain above them, are listed here.
-BLOCKED_HOSTS = (
-    "adult-x.example.com", "adult-x.example.net", "adult-x.example.org",
-    "ads-track.example.com", "ads-track.example.net", "ads-track.example.org",
-    "casino-win.example.com", "casino-win.example.net", "casino-win.example.org",
-    "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org",
-    "free-bets.example.com", "free-bets.example.net", "free-bets.example.org",
-    "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
-)
+#: One host on a line; those that no rule decides are blocked when they, or a domain above them, are listed here.
+BLOCKED_HOSTS_FILE = Path(__file__).with_name("blocked_hosts.txt")
+
+
+class TooManyKeys(ValueError):
+    """A list whose levels would not fit into a plan."""
+
+
+def _keys(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"key": pa.array(keys, pa.string())}))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -72,7 +75,7 @@ class Shape:
             )
             for k, n in self.shapes
         ]
-        keys = F.array_compact(F.array(*each))
+        keys = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
         return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda s: s["k"])
 
 
@@ -113,11 +116,13 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, seed: int, first_rate: float = 0.05, rate: float = 0.5) -> Cascade:
+def build_cascade(
+    listed: DataFrame, universe: DataFrame, seed: int, first_rate: float = 0.05, rate: float = 0.5, max_level_bits: int = MAX_LEVEL_BITS
+) -> Cascade:
     """A cascade that tells ``listed`` from the rest of ``universe`` (both: one column ``key``).
 
-    Only bit words reach the driver, at most ``MAX_LEVEL_BITS`` a level.  A
-    list beyond that is refused with ``ValueError``; use a semi join for it.
+    Only bit words reach the driver, at most ``max_level_bits`` a level.  A list
+    beyond that raises ``TooManyKeys``; ``url_filter`` then joins.
     """
     listed = cut(listed.filter("key is not null").distinct(), "listed")
     inside, outside = listed, None
@@ -128,8 +133,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int, first_rate:
             return Cascade(levels)
         p = first_rate if not levels else rate
         bits = max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2 / WORD_BITS) * WORD_BITS)
-        if bits > MAX_LEVEL_BITS:
-            raise ValueError(f"{n} keys need {bits} bits in a level; at most {MAX_LEVEL_BITS} are allowed")
+        if bits > max_level_bits:
+            raise TooManyKeys(f"{n} keys need {bits} bits in a level; at most {max_level_bits} are allowed")
         hashes = max(1, round(bits / n * math.log(2))) if n < bits else 1
         hashes = min(hashes, 8)
         seed += 1
@@ -149,34 +154,58 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int, first_rate:
         inside, outside = cut(wrong, "passed-by-mistake"), inside
 
 
+def _with_listed(parts: DataFrame, keys: Column, listed: DataFrame, universe: DataFrame, seed: int, max_level_bits: int) -> DataFrame:
+    """Add ``_bad``: whether one of the page's keys is listed.
+
+    A bit test in the scan; for a list too long for a plan, a join of the
+    distinct hosts and paths with it, which is as exact.
+    """
+    try:
+        cascade = build_cascade(listed, universe, seed, max_level_bits=max_level_bits)
+    except TooManyKeys:
+        asked = parts.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("key"))
+        bad = cut(asked.join(listed, "key", "left_semi").select("host", "path").distinct().withColumn("_bad", F.lit(True)), "listed-pages")
+        return parts.join(bad, ["host", "path"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    return parts.withColumn("_bad", F.exists(keys, lambda k: cascade.contains(k)))
+
+
 def url_filter(
     pages: DataFrame,
     block_rules: Sequence[str] = BLOCK_RULES,
     allow_rules: Sequence[str] = ALLOW_RULES,
-    blocked_hosts: Sequence[str] = BLOCKED_HOSTS,
+    blocked_hosts: DataFrame | None = None,
+    max_level_bits: int = MAX_LEVEL_BITS,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages``.
 
     A rule (host and path) fits its host and all subdomains if the path starts
     with the rule's; the longest that fits decides.  Where none fits, the page
-    is blocked if its host or a domain above it is listed, else allowed.  A null
-    url, or one without ``://``, has an empty host and path, fits nothing and is
-    allowed.  Repeated rows are judged alike, each on its own; an empty table
-    gives no rows; other columns are ignored.
+    is blocked if its host or a domain above it is in ``blocked_hosts`` (a table
+    with a column ``host``, of any length; if none is given,
+    ``BLOCKED_HOSTS_FILE``), else allowed.  A null url, or one without ``://``,
+    has an empty host and path, fits nothing and is allowed.  Repeated rows are
+    judged alike, each on its own; an empty table gives no rows; null and empty
+    hosts of the list and other columns are ignored.
     """
     spark = pages.sparkSession
+    if blocked_hosts is None:
+        names = _keys(spark, BLOCKED_HOSTS_FILE.read_text().split())
+    else:
+        names = blocked_hosts.select(F.translate("host", UPPER, LOWER).alias("key")).filter("key <> ''")
+    names = cut(names.distinct(), "blocked-hosts")
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rules, hosts = Shape.of([*block_rules, *allow_rules]), Shape.of(blocked_hosts)
+    rules = Shape.of([*block_rules, *allow_rules])
+    # numbers of labels, of which a host name has few
+    labels = names.select((F.length("key") - F.length(F.replace("key", F.lit("."), F.lit(""))) + 1).alias("n")).distinct()
+    hosts = Shape(sorted((r["n"], 0) for r in labels.collect()))
     rule_keys, host_keys = rules.candidates(F.col("host"), F.col("path")), hosts.candidates(F.col("host"), F.col("path"))
     # the complete universe: every key that any page can ask about
     universe = cut(parts.select(F.explode(F.concat(rule_keys, host_keys)).alias("key")).distinct(), "key-universe")
-    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
-    blocks, allows, listed = (build_cascade(frame(keys), universe, seed) for keys, seed in ((block_rules, 100), (allow_rules, 200), (blocked_hosts, 300)))
+    blocks, allows = (build_cascade(_keys(spark, keys), universe, seed) for keys, seed in ((block_rules, 100), (allow_rules, 200)))
     fitting = F.filter(rule_keys, lambda k: blocks.contains(k) | allows.contains(k))
     rule = F.when(F.size(fitting) > 0, F.element_at(fitting, 1))
-    bad_host = F.exists(host_keys, lambda k: listed.contains(k))
-    judged = parts.select("page_id", "host", "path", rule.alias("rule"), bad_host.alias("_bad"))
+    judged = _with_listed(parts, host_keys, names, universe, 300, max_level_bits).select("page_id", "host", "path", rule.alias("rule"), "_bad")
     verdict = F.when(F.col("rule").isNotNull(), F.when(allows.contains(F.col("rule")), "allow").otherwise("block")).otherwise(
         F.when(F.col("_bad"), "block").otherwise("allow")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -498,7 +499,9 @@ def test_url_filter(spark):
         "a://b://c/d", "http://x.net?q", "http://x.net#/", "http://" + "a." * 3000 + "net/z", "http://n\new.net/\n",
     ]
     rows = [(i, u, "h", "clash") for i, u in enumerate(urls)] + [(5, urls[5], "h", "clash")]
-    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = url_filter.url_filter(pages).collect()
+    listed = url_filter.BLOCKED_HOSTS_FILE.read_text().split()
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     for r in got:
         url = urls[r["page_id"]] or ""
@@ -507,11 +510,17 @@ def test_url_filter(spark):
         host, path = low(rest[:cut]), rest[cut:].split("?")[0].split("#")[0]
         fits = [k for k in rules if (host == k.split("/", 1)[0] or host.endswith("." + k.split("/", 1)[0])) and path.startswith("/" + k.split("/", 1)[1])]
         rule = max(fits, key=len, default=None)
-        bad = any(host == h or host.endswith("." + h) for h in url_filter.BLOCKED_HOSTS)
+        bad = any(host == h or host.endswith("." + h) for h in listed)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == (rules[rule] if rule else "block" if bad else "allow")
     assert len(got) == len(rows)
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    # a list from a table, and one too long for a level: the same verdicts by a join
+    table = spark.createDataFrame([(h.upper(), 1) for h in listed] + [(None, 1), ("", 1)], "host string, key int")
+    for bits in (url_filter.MAX_LEVEL_BITS, 64):
+        assert sorted(map(str, url_filter.url_filter(pages, blocked_hosts=table, max_level_bits=bits).collect())) == sorted(map(str, got))
+    none = url_filter.url_filter(pages, blocked_hosts=table.filter("host = ''")).filter("rule is null")
+    assert {r["verdict"] for r in none.collect()} == {"allow"}
 
 
 def test_cascade_is_exact(spark):
@@ -521,8 +530,8 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 2
     found = universe.filter(cascade.contains(F.col("key")))
     assert found.exceptAll(listed).count() == 0 and listed.exceptAll(found).count() == 0
-    with pytest.raises(ValueError, match="bits"):
-        url_filter.build_cascade(universe.withColumn("key", F.explode(F.array(*[F.concat("key", F.lit(f"-{i}")) for i in range(400)]))), universe, 1, first_rate=1e-3)
+    with pytest.raises(url_filter.TooManyKeys, match="bits"):
+        url_filter.build_cascade(listed, universe, 1, max_level_bits=1024)
 
 
 # 10 language ----------------------------------------------------------------
@@ -563,3 +572,30 @@ def test_gradients():
         down = loss()
         p[at] = old
         assert (up - down) / (2 * step) == pytest.approx(float(g[at]), rel=0.1, abs=1e-3)
+
+
+def brute_probabilities(model, windows):
+    out = []
+    for window in windows.tolist():
+        pooled = []
+        for width, filters in model.filters.items():
+            for f in range(filters.shape[2]):
+                best = max(
+                    sum(float(model.embed[window[at + j], d]) * float(filters[j, d, f]) for j in range(width) for d in range(filters.shape[1]))
+                    for at in range(len(window) - width + 1)
+                )
+                pooled.append(max(0.0, best + float(model.bias[width][f])))
+        scores = [sum(p * float(model.out[i, k]) for i, p in enumerate(pooled)) + float(model.out_bias[k]) for k in range(len(model.languages))]
+        powers = [math.exp(s - max(scores)) for s in scores]
+        out.append([p / sum(powers) for p in powers])
+    return np.array(out)
+
+
+def test_forward_pass_is_plain_loops():
+    r = np.random.default_rng(3)
+    model = language_id.ByteCNN.fresh(["x", "y", "z"], widths=(2, 3), dims=4, n_filters=5)
+    for a in model.parameters():
+        a += r.standard_normal(a.shape).astype(np.float32)
+    windows = r.integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
+    want = brute_probabilities(model, windows)
+    assert np.allclose(model.probabilities(windows), want, atol=1e-4)
