@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DISPLAY_RANK, EXTRACTOR_VERSION, MAX_ATTEMPTS, MAX_FACTS_PER_NOTE, SAMPLE_LIMIT, STATE_POLARITIES, WINNER_RANK
 from ..functions.text import document_id
+from ..storage import cut
 
 STATE = ("entity", "attribute", "claim", "value_text", "value_num", "polarity", "as_of", "confidence", "source_note_id", "fact_id")
 
@@ -102,12 +103,16 @@ def _inverted(hexadecimal: str) -> Column:
 
 
 def current_state(facts: DataFrame) -> DataFrame:
-    """State rows with what they supersede: the best fact that differs in value or time."""
-    now = winners(facts)
+    """State rows with what they supersede: the best fact that differs in value or time.
+
+    The winners are written first, so the join that follows is of plain exchanges,
+    which adaptive execution can split at a key with very many events.
+    """
+    now = cut(winners(facts), "winners")
     current = now.select(F.col("state_key").alias("_key"), F.col("value_text").alias("_value"), F.col("as_of").alias("_as_of"))
     others = eligible(facts).join(current, F.col("state_key") == F.col("_key")).filter((F.col("value_text") != F.col("_value")) | (F.col("as_of") != F.col("_as_of")))
     best = F.max(F.struct("as_of", winner_rank().alias("_rank"), "confidence", _inverted("fact_id").alias("_id"), F.struct("value_text", "claim", "as_of", "source_note_id").alias("f")))
-    previous = others.groupBy(F.col("state_key").alias("_key")).agg(best["f"].alias("p"))
+    previous = cut(others.groupBy(F.col("state_key").alias("_key")).agg(best["f"].alias("p")), "previous")
     return now.join(previous, F.col("state_key") == F.col("_key"), "left").select(
         "state_key", *[F.col(c).alias("source_fact_id" if c == "fact_id" else c) for c in STATE],
         F.col("p.value_text").alias("previous_value_text"), F.col("p.claim").alias("previous_claim"),

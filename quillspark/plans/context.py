@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PROFILES
 from ..operators import render, retrieval
 from ..operators.ledger import current_state
+from ..storage import cut
 
 
 def query_vectors(embeddings: DataFrame, n: int = 3) -> list[list[float]]:
@@ -31,10 +32,11 @@ def relevant_notes(
 
     State lines take their share of the budget first.  The best notes fill what
     is left; then short notes with a fair score fill a part of what they leave.
-    Scores are joined with contents only once few notes remain.
+    Scores are narrow rows, written once, as every pass reads them; they are
+    joined with contents only once few notes remain.
     """
     profile = PROFILES[profile_name]
-    scored = retrieval.score(notes, index, queries, now_ms, profile, terms)
+    scored = cut(retrieval.score(notes, index, queries, now_ms, profile, terms), "scored")
     budget = profile.max_prompt_chars
     if facts is not None:
         split = render.budget_split(current_state(facts), budget).first()

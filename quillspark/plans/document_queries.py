@@ -135,9 +135,9 @@ def explore_report(spark, sf):
     return doc.select("conv_id", "seq", model_json.explore_text(F.col("explore")).alias("report"))
 
 
-@query("json_loose_object", "SELECT conv_id, turn AS seq, CASE WHEN turn % 4 IN (0, 1) THEN role END AS objective FROM conversations WHERE turn % 4 <> 2")
+@query("json_loose_object", "SELECT conv_id, turn AS seq, CASE WHEN turn % 4 IN (0, 1) THEN role END AS objective FROM conversations")
 def json_loose_object(spark, sf):
-    out = _model_output(spark, sf).filter("seq % 4 <> 2")
+    out = _model_output(spark, sf)
     return out.select("conv_id", "seq", F.get_json_object(model_json.loose_object(F.col("output")), "$.objective").alias("objective"))
 
 
@@ -178,7 +178,7 @@ def scores_clamped(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), coercion.score(F.parse_json(value)).alias("score"))
 
 
-@query("js_numbers", "SELECT event_id, CAST(floor(value * 10 - 500 + 0.5) AS BIGINT) AS rounded, lpad(CAST(CAST(floor(value / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS duration FROM events WHERE value >= 0 AND value < 6000")
+@query("js_numbers", "SELECT event_id, CAST(floor(value * 10 - 500 + 0.5) AS BIGINT) AS rounded, lpad(CAST(CAST(floor(value / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS duration FROM events")
 def js_numbers(spark, sf):
     e = views.table(spark, sf, "events")
     return e.select("event_id", js_round(F.col("value") * 10 - 500).alias("rounded"), duration_label(F.col("value")).alias("duration"))

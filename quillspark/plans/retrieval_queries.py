@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import PROFILES, STOP_WORDS
+from ..config import COMBINE_OVERHEAD, PROFILES, STOP_WORDS
 from ..functions import scoring
 from ..operators import retrieval
+from ..operators.render import state_budget
 from ..sources import views
 from ..sources.views import NOW_MS, with_views
 from . import context
+from .ledger_queries import WORLD
 from .registry import query
 
 
@@ -57,11 +59,18 @@ for _name in PROFILES:
     _register_rank(_name)
 
 
-def _coverage_sql(name: str) -> str:
+#: The best of the candidates ``c``, the last of them giving way to the best recent one where none is recent.
+COVERED = "rank < n OR (rank = n AND NOT coalesce(first_recent > n, false)) OR (first_recent > n AND rank = first_recent)"
+
+
+def _candidates_sql(name: str) -> str:
     p = PROFILES[name]
-    return f"""WITH {scored_sql(name)}, c AS (SELECT *, least({p.selection_limit}, (SELECT count(*) FROM ranked WHERE rank <= {p.candidate_limit})) AS n,
-  (SELECT min(rank) FROM ranked WHERE rank <= {p.candidate_limit} AND recency > 0.2) AS first_recent FROM ranked WHERE rank <= {p.candidate_limit})
-SELECT note_id, rank FROM c WHERE rank < n OR (rank = n AND NOT coalesce(first_recent > n, false)) OR (first_recent > n AND rank = first_recent)"""
+    return f"""c AS (SELECT *, least({p.selection_limit}, (SELECT count(*) FROM ranked WHERE rank <= {p.candidate_limit})) AS n,
+  (SELECT min(rank) FROM ranked WHERE rank <= {p.candidate_limit} AND recency > 0.2) AS first_recent FROM ranked WHERE rank <= {p.candidate_limit})"""
+
+
+def _coverage_sql(name: str) -> str:
+    return f"WITH {scored_sql(name)}, {_candidates_sql(name)}\nSELECT note_id, rank FROM c WHERE {COVERED}"
 
 
 @query("retrieve_coverage_reframe", with_views(_coverage_sql("reframe"), "notes", "note_embeddings"))
@@ -100,27 +109,79 @@ def pack_recent_notes(spark, sf):
     return context.recent_notes(views.notes(spark, sf), 28000, "date").select("note_id", F.col("pick").cast("long").alias("pick"))
 
 
-@query("retrieve_context_chat")
-def context_chat(spark, sf):
-    return context.relevant_notes(views.notes(spark, sf), views.note_embeddings(spark, sf), views.fact_events(spark, sf), _vectors(spark, sf), "chat", NOW_MS).select("note_id", "part")
+#: The stamps of prompt lines in SQL, by style.
+SQL_STAMP = {"date": "%-m/%-d/%Y", "datetime": "%a, %b %-d, %Y, %I:%M %p"}
+
+
+def picked_sql(name: str) -> str:
+    """CTEs up to ``picked`` (note_id, note_ts, line, length, cut_to, part): the whole retrieval of a profile, its two folds recursive."""
+    p = PROFILES[name]
+    line = f"'[' || strftime(note_ts, '{SQL_STAMP[p.timestamp_style]}') || '] ' || content"
+    order = "ORDER BY score DESC, note_ts DESC, note_id"
+    chosen = _coverage_sql(name).split("ranked AS", 1)[1].split("),\nc AS" if False else ", c AS", 1)[1] if p.force_recent else ""
+    candidates = f"c AS{chosen}".replace("SELECT note_id, rank FROM c", ", chosen AS (SELECT * FROM c") + ")" if p.force_recent else f"chosen AS (SELECT * FROM ranked WHERE rank <= {min(p.selection_limit, p.candidate_limit)})"
+    world = WORLD.format(state_budget(p.max_prompt_chars)).removeprefix("WITH ")
+    return f"""RECURSIVE {scored_sql(name)},
+{candidates},
+{world},
+room AS (SELECT CASE WHEN used = 0 THEN {p.max_prompt_chars} ELSE greatest(0, {p.max_prompt_chars} - used - {COMBINE_OVERHEAD}) END AS b
+  FROM (SELECT CAST(coalesce(sum(length(line) + 1) - 1, 0) AS BIGINT) AS used FROM world)),
+best AS MATERIALIZED (SELECT note_id, note_ts, content, length(content) AS n_content, {line} AS line, length({line}) AS n_line, row_number() OVER ({order}) AS k FROM chosen WHERE content <> ''),
+head AS (SELECT *, n_line > b AS beyond, regexp_replace(substr(content, 1, greatest(120, b - 32)), '\\s+$', '') AS short FROM best, room WHERE k = 1),
+fold(k, total, fits, note_id, cost, cut_to) AS (
+  SELECT CAST(k AS BIGINT), CAST(CASE WHEN beyond THEN n_line - n_content + length(short) + 2 ELSE n_line + 1 END AS BIGINT), true, note_id,
+    CAST(CASE WHEN beyond THEN n_line - n_content + length(short) + 1 ELSE n_line + 1 END AS BIGINT), CAST(CASE WHEN beyond THEN length(short) END AS BIGINT) FROM head
+  UNION ALL
+  SELECT s.k, CASE WHEN f.total + s.n_line <= b THEN f.total + s.n_line + 1 ELSE f.total END, f.total + s.n_line <= b, s.note_id, s.n_line + 1, NULL
+  FROM fold f JOIN best s ON s.k = f.k + 1, room WHERE f.total < b),
+taken AS MATERIALIZED (SELECT f.*, note_ts, CASE WHEN cut_to IS NULL THEN line ELSE substr(line, 1, n_line - n_content + cut_to) END AS line FROM fold f JOIN best USING (note_id) WHERE fits),
+spare AS MATERIALIZED (SELECT least(CAST(floor(max(b) * {p.short_budget_ratio}::DOUBLE) AS BIGINT), greatest(0, max(b) - coalesce(sum(cost), 0))) - 1 AS room_left FROM room LEFT JOIN taken ON true),
+others AS MATERIALIZED (SELECT note_id, note_ts, {line} AS line, length({line}) AS n_line, row_number() OVER ({order}) AS k FROM scored, spare
+  WHERE content <> '' AND content_length BETWEEN 1 AND {p.short_max} AND score >= {p.short_min_score}::DOUBLE AND note_id NOT IN (SELECT note_id FROM taken) AND length({line}) <= room_left),
+sweep(k, total, fits, note_id) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT s.k, CASE WHEN f.total + s.n_line <= room_left THEN f.total + s.n_line + 1 ELSE f.total END, f.total + s.n_line <= room_left, s.note_id
+  FROM sweep f JOIN others s ON s.k = f.k + 1, spare WHERE f.total < room_left),
+picked AS (SELECT note_id, note_ts, line, cut_to, 'primary' AS part FROM taken
+  UNION ALL SELECT note_id, note_ts, line, NULL, 'sweep' FROM sweep JOIN others USING (note_id) WHERE fits)"""
+
+
+def _picked_query(name: str, body: str) -> str:
+    sql = with_views(f"WITH {picked_sql(name)}\n{body}", "notes", "note_embeddings", "current_state")
+    return sql.replace("RECURSIVE ", "", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _picked(spark, sf, name):
+    return context.relevant_notes(views.notes(spark, sf), views.note_embeddings(spark, sf), views.fact_events(spark, sf), _vectors(spark, sf), name, NOW_MS)
 
 
-@query("retrieve_context_reframe")
-def context_reframe(spark, sf):
-    return context.relevant_notes(views.notes(spark, sf), views.note_embeddings(spark, sf), views.fact_events(spark, sf), _vectors(spark, sf), "reframe", NOW_MS).select("note_id", "part")
+def _register_context(name: str) -> None:
+    @query(f"retrieve_context_{name}", _picked_query(name, "SELECT note_id, part FROM picked"))
+    def retrieve(spark, sf):
+        return _picked(spark, sf, name).select("note_id", "part")
 
 
-@query("retrieve_diagnostics_chat")
+for _name in PROFILES:
+    _register_context(_name)
+
+
+@query(
+    "retrieve_diagnostics_chat",
+    _picked_query(
+        "chat",
+        """, a AS (SELECT count(*) AS available_notes, CAST(greatest(0, sum(length('[' || strftime(note_ts, '%-m/%-d/%Y') || '] ' || content) + 1) - 1) AS BIGINT) AS full_chars FROM notes),
+s AS (SELECT count(*) AS selected_notes, count(*) FILTER (part = 'sweep') AS short_notes, CAST(greatest(0, coalesce(sum(length(line) + 1), 1) - 1) AS BIGINT) AS selected_chars FROM picked)
+SELECT *, CASE WHEN full_chars > 0 THEN greatest(0.0::DOUBLE, 1 - selected_chars::DOUBLE / full_chars::DOUBLE) ELSE 0.0::DOUBLE END AS reduction, 'chat' AS profile FROM a, s""",
+    ),
+)
 def diagnostics_chat(spark, sf):
-    notes = views.notes(spark, sf)
-    picked = context.relevant_notes(notes, views.note_embeddings(spark, sf), views.fact_events(spark, sf), _vectors(spark, sf), "chat", NOW_MS)
-    return context.diagnostics(picked, notes, "chat")
+    return context.diagnostics(_picked(spark, sf, "chat"), views.notes(spark, sf), "chat")
 
 
-@query("retrieve_prompt_chat")
+@query("retrieve_prompt_chat", _picked_query("chat", "SELECT note_id, note_ts, CASE WHEN cut_to IS NULL THEN line ELSE line || '…' END AS line FROM picked"))
 def prompt_chat(spark, sf):
-    picked = context.relevant_notes(views.notes(spark, sf), views.note_embeddings(spark, sf), views.fact_events(spark, sf), _vectors(spark, sf), "chat", NOW_MS)
-    return context.prompt_lines(picked, "chat")
+    return context.prompt_lines(_picked(spark, sf, "chat"), "chat")
 
 
 @query("score_pairs", with_views("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] q FROM embeddings WHERE vec_id < 3) SELECT query_id, v.note_id, round(greatest(0, list_dot_product(q, v.embedding::DOUBLE[])), 6) AS score FROM q, note_embeddings v", "note_embeddings"))
