@@ -128,7 +128,13 @@ def explore_normalise(spark, sf):
     return doc.select("conv_id", "seq", F.col("explore.objective").alias("objective"), F.sha1("explore.summary").alias("summary_sha1"), F.size("explore.questions").alias("questions"))
 
 
-@query("explore_report")
+@query(
+    "explore_report",
+    """WITH told AS (SELECT conv_id, turn AS seq, turn % 4 < 2 AS asked, role, CASE WHEN turn % 4 = 3 THEN 'none' ELSE role END AS objective,
+  CASE WHEN turn % 4 = 3 OR trim(text, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN 'No summary generated.' ELSE trim(text, ' ' || chr(10) || chr(9) || chr(13)) END AS summary FROM conversations)
+SELECT conv_id, seq, array_to_string(['Objective: ' || objective, '', summary, '', 'Current state', '- None', '', 'Constraints', '- None', '', 'Already working', '- None', '', 'Underused assets', '- None', '',
+  'Opportunity spaces', '- None', '', 'Already thought', '- None', '', 'Adjacent ideas', '- None', '', 'Actually new ideas', '- None', '', 'Unlock questions', CASE WHEN asked THEN '- ' || role ELSE '- None' END], chr(10)) AS report FROM told""",
+)
 def explore_report(spark, sf):
     found = model_json.recover_json(_model_output(spark, sf), "output")
     doc = model_json.normalise_explore(found, "recovered", F.lit("none"))
