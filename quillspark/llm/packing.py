@@ -111,7 +111,8 @@ def pack(rows: DataFrame, sequence_tokens: int = SEQUENCE_TOKENS, open_bins: int
             yield batch.assign(sequence_id=[base + n for n, _ in placed], offset=[o for _, o in placed])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    turn = F.xxhash64(*keys, "length")
+    # rows that repeat another in all of these are dealt apart by their arrival
+    turn = F.xxhash64(*keys, "length", F.monotonically_increasing_id())
     # the order within a task is a hash's, not the corpus's: a run of long documents would crowd out the open bins
     dealt = rows.withColumn("_turn", turn).repartition(tasks, "_turn").sortWithinPartitions("_turn", *keys).drop("_turn")
     return dealt.mapInPandas(fill, schema)

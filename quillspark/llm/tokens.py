@@ -33,7 +33,8 @@ class PieceEncoder:
     border between a visible character and the space after it, so the text is
     cut there and equal pieces are encoded once.  ``spaces``: "drop" where the
     tokenizer drops white space (any space is such a border), "keep" where a
-    word takes the space before it along.  Texts with special tokens, and with
+    word takes the space before it along.  Texts with special tokens, in any
+    case (only the exact spelling is one to the tokenizer), and with
     "keep" those with a space after other white space, are encoded whole.
 
     A piece of plain letters is one word to either tokenizer, so the file's
@@ -64,7 +65,8 @@ class PieceEncoder:
         self.newline, *marks = self._whole(["\n", ",", "."])
         self.marks = dict(zip(",.", marks, strict=True))
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+        # case-blind, as the text may be lower-cased before its pieces are encoded
+        self.special = re.compile("|".join(re.escape(t.content) for t in added), re.IGNORECASE) if added else None
 
     def _check_kind(self, path: str) -> None:
         """Probe what the cutting relies on."""

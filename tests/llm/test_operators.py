@@ -133,7 +133,7 @@ def test_packing_of_repeats_and_nothing(docs, empty):
 
 @pytest.mark.parametrize(("file", "spaces"), [("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "keep")])
 def test_piece_encoder_is_the_tokenizer(file, spaces):
-    odd = ["a  b", "  x", " lead", "t\t x\n y", "it's, o'k 's ''s", "a) , b.", "<|endoftext|> a", "é́ x", "ΑΣ ΣΑΣ", "a\u00a0 b", "", " ", "\n", "a\x1c b", "ha " * 50, "😀 a😀 b", "İ İx", "é, x. b'. ,. 中, Ⅷ, aʰ,"]
+    odd = ["a  b", "  x", " lead", "t\t x\n y", "it's, o'k 's ''s", "a) , b.", "<|endoftext|> a", "<|STARTOFTEXT|>", "a <|ENDOFTEXT|> b", "É <|EndOfText|>", "b<|startoftext|>", "é́ x", "ΑΣ ΣΑΣ", "a\u00a0 b", "", " ", "\n", "a\x1c b", "ha " * 50, "😀 a😀 b", "İ İx", "é, x. b'. ,. 中, Ⅷ, aʰ,"]
     odd += [t or "" for _, t in texts()]
     plain = Tokenizer.from_file(tokens.vocabulary(file))
     odd += ["\nlead", "x\n", "a\n\nb", "a \nb", "a\n b", "a\nb,\nC.\nd", "a\u00a0b\nc d", "\u00a0a b", "é\nÉté, ß.", "\n", "\n\n", "a\n", ",", "a\n,b"]
@@ -240,6 +240,22 @@ def test_mixing_plays_rows_as_often_as_taken(docs):
     assert Counter(r["doc_id"] for r in played.select("doc_id").collect()) == want
 
 
+def test_playing_keeps_clashing_columns_and_deals_turns_alike(spark):
+    text = prose(random.Random(4), 40)
+    rows = [(1, text, "a", 10 * i, i, "x") for i in range(5)] + [(2, text + " b", "b", 7, 7, "y"), (None, text, "a", 8, 8, "z"), (None, text, "a", 8, 8, "z"), (3, None, "c", 9, 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _times int, _row string")
+    first = Counter(map(tuple, mixing.play(df.repartition(3)).collect()))
+    assert set(first) <= {tuple(r) for r in rows}
+    assert first == Counter(map(tuple, mixing.play(df.repartition(2)).collect()))
+    taken = {r["doc_id"]: r["n"] for r in mixing.mix(df).filter("size > 0").groupBy("doc_id").agg((F.sum("taken") / F.first("size")).cast("int").alias("n")).collect()}
+    played = Counter()
+    for row, n in first.items():
+        played[row[0]] += n
+    assert played == Counter({d: n for d, n in taken.items() if n})
+    of_one = [first[r] for r in rows[:5]]
+    assert max(of_one) - min(of_one) <= 1
+
+
 # 4 exact dedup --------------------------------------------------------------
 
 
@@ -272,6 +288,14 @@ def test_exact_dedup_edges(docs, empty):
     assert exact_dedup.keep_exact(empty).count() == 0
 
 
+def test_many_copies_of_a_row_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES_PER_ROW", 4)
+    rows = [(None, "")] * 11 + [(1, "a")] * 4 + [(2, "A")] * 5 + [(3, None)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == {(None, 3, 12): 11, (3, 3, 12): 1, (1, 2, 9): 4, (2, 2, 9): 5}
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == [2, 3]
+
+
 KEEPERS = {"exact": exact_dedup.keep_exact, "simhash": simhash.keep_one_of_each, "near": near_dedup.keep_one_of_each}
 
 
@@ -289,6 +313,20 @@ def test_one_row_of_each_group_stays(spark, name):
     assert got == sorted([*((d or 0, t.lower()) for d, t in want), (7, "")])
 
 
+@pytest.mark.parametrize("name", [*KEEPERS, "play"])
+def test_columns_of_any_name_and_type_come_through(spark, name):
+    """Dots, clashes and maps; rows that repeat doc_id and text."""
+    texts = [prose(random.Random(i), 70) for i in range(3)]
+    rows = [(i % 3, texts[i % 3], "s", {"k": str(i), "a": "b"}, 1.5, i, [b"x"]) for i in range(6)] + [(9, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `a map` map<string,string>, `b.c` double, _id int, _key array<binary>").repartition(3)
+    out = (mixing.play if name == "play" else KEEPERS[name])(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = [str(r) for r in out.collect()]
+    assert set(got) <= {str(r) for r in df.collect()}
+    if name != "play":
+        assert len(got) == 4 and str(df.filter("_id = 5").first()) in got  # of repeats, the largest as JSON
+
+
 def test_keep_exact_against_brute_force(docs):
     groups = defaultdict(list)
     for d, t in texts():
