@@ -33,15 +33,16 @@ def rows_of(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
     """One row of ``docs`` for each row of ``kept`` (_id, _key, copies), columns as they were.
 
     ``_id`` is the ``id_key`` of a row's doc_id and ``_key`` its ``key``;
-    ``copies`` rows share both.  Only where there are several, the largest row is
-    taken, by a maximum that is combined before the shuffle.
+    ``copies`` rows share both.  Only where there are several, the row whose
+    columns are the largest as JSON is taken, by a maximum that is combined before
+    the shuffle.  Columns may have any name and type.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), id_key(F.col("doc_id")).alias("_id"), key.alias("_key"))
+    keyed = docs.select(F.struct("*").alias("_row"), id_key(F.col("doc_id")).alias("_id"), key.alias("_key"))
     once = keyed.join(kept.filter("copies = 1"), ["_id", "_key"], "left_semi").select("_row.*")
     repeats = kept.filter("copies > 1")
     if repeats.isEmpty():
         return once
-    several = keyed.join(repeats, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.max("_row").alias("_row"))
+    several = keyed.join(repeats, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.max_by("_row", F.to_json("_row")).alias("_row"))
     return once.unionByName(several.select("_row.*"))
 
 

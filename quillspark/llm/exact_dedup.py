@@ -21,6 +21,8 @@ from .common import ascii_lower, cut, id_key, rows_of
 
 #: Bytes in a block; most documents are one block long.
 BLOCK_BYTES = 4096
+#: Rows that one row of counts is spread into at once.
+COPIES_PER_ROW = 10_000
 
 
 def _blocks(docs: DataFrame, block_bytes: int, key) -> DataFrame:
@@ -104,11 +106,10 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) ->
     return out.groupBy("doc_id", "sha", "level", "name").agg(F.sum("copies").alias("copies"))
 
 
-def _judged(docs: DataFrame, block_bytes: int, key) -> DataFrame:
-    """(doc_id, sha, copies, keep_id, group_size) for each distinct doc_id and text."""
+def _judged(docs: DataFrame, block_bytes: int, key) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sha, level, name, copies) for each distinct doc_id and text, and (level, name, keep_id, group_size)."""
     names = cut(document_names(docs, block_bytes, key), "document-names")
-    groups = cut(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
-    return names.join(groups, ["level", "name"]).select("doc_id", "sha", "copies", "keep_id", "group_size")
+    return names, cut(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) -> DataFrame:
@@ -119,13 +120,23 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) -> Da
     doc_id and the text, one of them stays, and all of them count.  A null doc_id
     is the smallest.  An empty table gives no rows; other columns are ignored.
     """
-    judged = _judged(docs, block_bytes, key)
-    every = judged.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_copy", "_"))
+    names, groups = _judged(docs, block_bytes, key)
+
+    def rows(some: DataFrame) -> DataFrame:
+        return some.join(groups, ["level", "name"]).select("doc_id", "sha", "keep_id", "group_size", "copies", F.lit(0).cast("long").alias("first"))
+
+    every = rows(names.filter(F.col("copies") <= COPIES_PER_ROW))
+    many = names.filter(F.col("copies") > COPIES_PER_ROW)
+    if not many.isEmpty():
+        # runs of a bounded length, dealt out to all tasks
+        runs = rows(many).withColumn("first", F.explode(F.expr(f"sequence(0, copies - 1, {COPIES_PER_ROW}L)"))).repartition("doc_id", "sha", "first")
+        every = every.unionByName(runs.withColumn("copies", F.least(F.col("copies") - F.col("first"), F.lit(COPIES_PER_ROW).cast("long"))))
+    every = every.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_copy", "_"))
     return every.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 0)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 0) & (F.col("first") == 0)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -134,8 +145,10 @@ def keep_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key=None) -> Dat
     """``docs`` without the rows that :func:`exact_dedup` drops; all columns as they were.
 
     Of rows that repeat the doc_id and the text that stay, the one whose columns
-    are the largest stays.
+    are the largest as JSON stays.
     """
-    kept = cut(_judged(docs, block_bytes, key).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(id_key(F.col("doc_id")).alias("_id"), F.col("sha").alias("_key"), "copies"), "kept")
+    names, groups = _judged(docs, block_bytes, key)
+    stays = names.join(groups, ["level", "name"]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = cut(stays.select(id_key(F.col("doc_id")).alias("_id"), F.col("sha").alias("_key"), "copies"), "kept")
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
     return rows_of(docs, kept, sha)
