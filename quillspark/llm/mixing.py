@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, id_key, running_sum
@@ -93,20 +93,30 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = MAX_RE
 
 
 def play(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, columns as they were."""
-    taken = (
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, columns as they were.
+
+    Rows that repeat doc_id and text share out their turns in the order of their
+    columns as JSON, so reruns agree; null ids and texts are values like others,
+    though a row without words is never taken.  Columns may have any name and
+    type.  An empty table gives no rows.
+    """
+    # a row that isn't taken has its place in the order too
+    shares = cut(
         mix(docs, **options)
-        .filter("taken > 0")
         .groupBy(id_key(F.col("doc_id")).alias("_id"), F.col("text_hash").alias("_text"))
-        .agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    )
-    keyed = docs.withColumn("_id", id_key(F.col("doc_id"))).withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # rows that repeat doc_id and text share out their turns
-    same = Window.partitionBy("_id", "_text")
-    shared = (
-        keyed.join(taken, ["_id", "_text"])
-        .withColumn("_rows", F.count(F.lit(1)).over(same))
-        .withColumn("_k", F.row_number().over(same.orderBy(F.lit(1))))
+        .agg(F.sum(F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")).alias("_times"), F.count(F.lit(1)).alias("_rows"))
+        .filter("_times > 0"),
+        "shares",
     )
-    times = F.expr("cast((_times + _rows - _k) div _rows as int)")
-    return shared.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("_row"), id_key(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    out = keyed.join(shares.filter("_rows = 1").select("_id", "_text", F.col("_times").cast("int").alias("_times")), ["_id", "_text"])
+    several = shares.filter("_rows > 1")
+    if not several.isEmpty():
+        # a row's number among its equals: its number among all of these, less what stands before its group
+        alike = keyed.join(several.select("_id", "_text"), ["_id", "_text"], "left_semi")
+        numbered = running_sum(alike.withColumn("_json", F.to_json("_row")).withColumn("_one", F.lit(1).cast("long")), ["_id", "_text", "_json"], "_one", "_k", "repeats")
+        starts = running_sum(several, ["_id", "_text"], "_rows", "_upto", "repeat-starts")
+        place = F.col("_k") - (F.col("_upto") - F.col("_rows"))
+        turns = numbered.join(starts, ["_id", "_text"]).withColumn("_times", F.floor((F.col("_times") + F.col("_rows") - place) / F.col("_rows")).cast("int"))
+        out = out.unionByName(turns.filter("_times > 0").select("_id", "_text", "_row", "_times"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
