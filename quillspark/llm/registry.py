@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import countmin_dedup, exact_dedup, language_id, mixing, packing, quality_rules, simhash, suffix_dedup, token_files, url_filter
+from . import (
+    conversation_repair,
+    countmin_dedup,
+    exact_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    oracles,
+    packing,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_files,
+    url_filter,
+    vector_codes,
+)
 from .common import table
 
 
@@ -53,6 +68,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -64,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_license_scan": op11_license_scan,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -178,3 +208,4 @@ SELECT p.page_id, p.host, p.path, best.rule,
        coalesce(best.verdict, CASE WHEN bad.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (page_id) LEFT JOIN bad USING (page_id)""",
 }
+SQL |= oracles.SQL
