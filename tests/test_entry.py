@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def _rows(frame):
     columns = sorted(frame.columns)
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or pd.isna(x) is True:
             return ""
         return repr(float(x)) if isinstance(x, (int, float)) or type(x).__module__ == "numpy" and not isinstance(x, str) and hasattr(x, "dtype") and x.dtype.kind in "iufb" else str(x)
 
