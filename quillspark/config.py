@@ -63,6 +63,8 @@ ATTRIBUTE_LADDER = (
     (r"buffet|b[aá]sico|premium", "menu_price"),
 )
 UNSPECIFIED_ATTRIBUTE = "value_unspecified"
+
+# What a claim that stands alone has or lacks, and what marks a derived analysis.
 ROLE_WORDS = (
     r"(per month|monthly|buffet|roas|sold|sales|subscription|price of|fee|spend|cogs|taco|guest|staff|rent|ads?|shrimp"
     r"|size|grade|unit cost|per shrimp|recipe|plan|considering|thinking)\b"
@@ -70,6 +72,7 @@ ROLE_WORDS = (
 PRONOUN_CLAIM = r"^(price|amount|value|cost|it|this|size|quantity)\s+(is|=)\s+"
 DERIVED_PHRASES = r"(you think|your realistic|scenario|option [ab]:|break-even|reconstructed)"
 
+# The extractor and its limits.
 EXTRACTOR_VERSION = "v3"
 MAX_ATTEMPTS = 4
 MAX_FACTS_PER_NOTE = 40
@@ -79,6 +82,14 @@ SKIP_MIN_CHARS = 12
 DEMOTED_CONFIDENCE = 0.55
 SAMPLE_LIMIT = 100
 
+# Limits of a sync call, of the backfill loop, and of an error's text.
+DEFAULT_SYNC_LIMIT = 15
+MAX_SYNC_LIMIT = 40
+BACKFILL_LIMIT = 12
+MAX_BACKFILL_ROUNDS = 80
+MAX_ERROR_CHARS = 500
+
+# Limits of the state in prompts.
 MAX_STATE_CHARS = 12000
 STATE_FRACTION = 0.45
 COMBINE_OVERHEAD = 320

@@ -24,6 +24,25 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def _astral(text: Column) -> Column:
+    """Whether a text has characters beyond the basic plane, which are two UTF-16 units each."""
+    return text.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+
+def utf16_prefix(text: Column, units: int) -> Column:
+    """The longest prefix of at most ``units`` UTF-16 units that doesn't cut a character in two."""
+    # a text is cut at the code point at which its units are used up; only texts with astral characters are looked at closely
+    near = F.substring(text, 1, units)
+    upto = F.transform(F.split(near, ""), lambda c: F.when(_astral(c), 2).otherwise(1))
+    whole = F.aggregate(
+        upto,
+        F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")),
+        lambda a, u: F.when(a["used"] + u <= units, F.struct((a["used"] + u).alias("used"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(units + 1).alias("used"), a["n"].alias("n"))),
+        lambda a: a["n"],
+    )
+    return F.when(_astral(near), F.substring(near, F.lit(1), whole)).otherwise(near)
+
+
 def js_round(x: Column) -> Column:
     """Half goes up, towards positive infinity."""
     return F.floor(x + 0.5)

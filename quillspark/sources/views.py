@@ -158,8 +158,9 @@ def with_views(body: str, *names: str) -> str:
     for name in names:
         add(name)
     head = ",\n".join(f"{name} AS (\n  {VIEW_SQL[name]})" for name in order)
-    body = body.strip()
-    joined = f"WITH {head}" if order else ""
-    if body.upper().startswith("WITH "):
-        return f"{joined},\n{body[5:]}" if order else body
-    return f"{joined}\n{body}"
+    body, opening = body.strip(), "WITH"
+    for start in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(start + " "):
+            opening, rest = start, body[len(start) + 1 :]
+            return f"{opening} {head},\n{rest}" if order else body
+    return f"{opening} {head}\n{body}" if order else body
