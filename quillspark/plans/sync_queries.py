@@ -9,7 +9,8 @@ from ..operators import fact_sync, ledger
 from ..sources import views
 from ..sources.store import TableStore
 from ..sources.views import with_views
-from ..storage import new_path
+from ..storage import cut, new_path
+from ..streaming import log, state
 from .ledger_queries import DIRTY
 from .registry import query
 
@@ -182,3 +183,52 @@ def facts_backfill(spark, sf):
     only = facts.select(F.col("source_note_id").alias("note_id")).distinct()
     done = fact_sync.backfill(store, views.notes(spark, sf), stub_model(facts), limit=40, only=only, clock=F.lit(CLOCK).cast("timestamp"), unicode=False)
     return fact_sync.rounds_table(spark, done)
+
+
+REPLAY = """events AS (SELECT * REPLACE (CASE WHEN attribute = 'click' THEN 'everyone|click' ELSE state_key END AS state_key), CAST(substring(source_note_id, 3) AS BIGINT) AS number FROM fact_events WHERE polarity <> 'hypothesis'),
+ranks(polarity, r) AS (VALUES ('measurement', 4), ('decision', 4), ('constraint', 3), ('identity', 3), ('estimate', 2), ('plan', 1)),
+lived AS (
+  SELECT state_key, fact_id, claim, value_text, polarity, as_of, confidence, r, source_note_id AS note_id, number + 1 AS since, CASE WHEN number % 2 = 0 THEN 1000 - number ELSE 100000 END AS until FROM events JOIN ranks USING (polarity)
+  UNION ALL SELECT state_key, fact_id, claim, value_text, polarity, as_of, confidence, r, source_note_id, 1000 - number, 100000 FROM events JOIN ranks USING (polarity) WHERE number % 2 = 0 AND polarity IN ('decision', 'measurement', 'plan')),
+touched AS (SELECT DISTINCT unnest([number + 1, 1000 - number]) AS seq, source_note_id AS note_id, state_key FROM events WHERE number % 2 = 0 UNION SELECT DISTINCT number + 1, source_note_id, state_key FROM events WHERE number % 2 = 1),
+best AS (SELECT since AS seq, state_key, struct_pack(fact_id, claim, value_text, polarity, as_of, confidence, r, note_id) AS f
+  FROM lived QUALIFY row_number() OVER (PARTITION BY since, state_key ORDER BY as_of DESC, r DESC, confidence DESC, fact_id) = 1),
+silent AS (SELECT t.seq, t.state_key FROM touched t ANTI JOIN best b USING (seq, state_key)),
+left_over AS (SELECT t.seq, t.state_key, l.* EXCLUDE (state_key), row_number() OVER (PARTITION BY t.seq, t.state_key ORDER BY as_of DESC, r DESC, confidence DESC, fact_id) AS rn
+  FROM silent t JOIN lived l ON l.state_key = t.state_key AND l.since <= t.seq AND t.seq < l.until),
+hist AS (SELECT seq, state_key, struct_pack(fact_id, claim, value_text, polarity, as_of, confidence, r, note_id) AS f FROM left_over WHERE rn = 1),
+then_ AS (SELECT o.seq, o.state_key, struct_pack(value_text := o.value_text, claim := o.claim, as_of := o.as_of, note_id := o.note_id) AS f
+  FROM left_over o JOIN hist h ON h.seq = o.seq AND h.state_key = o.state_key WHERE o.value_text <> h.f.value_text OR o.as_of <> h.f.as_of QUALIFY row_number() OVER (PARTITION BY o.seq, o.state_key ORDER BY o.rn) = 1),
+steps AS (SELECT t.*, row_number() OVER (PARTITION BY t.state_key ORDER BY t.seq) AS k, b.f AS best, h.f AS hist, p.f AS prev
+  FROM touched t LEFT JOIN best b USING (seq, state_key) LEFT JOIN hist h USING (seq, state_key) LEFT JOIN then_ p USING (seq, state_key)),
+begun AS (SELECT DISTINCT state_key, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS fact_id, CAST(NULL AS VARCHAR) AS claim, CAST(NULL AS VARCHAR) AS value_text, CAST(NULL AS VARCHAR) AS polarity, CAST(NULL AS TIMESTAMP) AS as_of,
+  CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS INTEGER) AS r, CAST(NULL AS VARCHAR) AS note_id, CAST(NULL AS VARCHAR) AS pv, CAST(NULL AS VARCHAR) AS pc, CAST(NULL AS TIMESTAMP) AS pa, CAST(NULL AS VARCHAR) AS pn FROM steps)"""
+
+
+def _fold(begin: str) -> str:
+    """The recursive fold of ``steps`` over ``begin``; ``ended`` has each key's last state."""
+    body = CALL[CALL.index("  UNION ALL\n  SELECT state_key, k, x.fact_id") : CALL.index(",\ncounts AS")]
+    return f"fold AS (\n  SELECT * FROM {begin}\n{body}"
+
+
+@query("state_replay", with_views(f"WITH RECURSIVE {REPLAY},\n{_fold('begun')}\nSELECT state_key, fact_id AS source_fact_id, value_text, polarity, as_of, note_id AS source_note_id, pv AS previous_value_text, pc AS previous_claim, pa AS previous_as_of, pn AS previous_source_note_id FROM ended WHERE fact_id IS NOT NULL", "fact_events"))
+def state_replay(spark, sf):
+    """The state kept up by a stream of three batches: all notes, then every second one again, backwards, with some facts withdrawn.  All clicks are one key."""
+    facts = views.fact_events(spark, sf).filter("polarity <> 'hypothesis'").withColumn("state_key", F.when(F.col("attribute") == "click", "everyone|click").otherwise(F.col("state_key")))
+    said = state.facts_struct(facts).groupBy("source_note_id", "state_key").agg(F.sort_array(F.collect_list(F.struct("fact_id", "fact"))).alias("all"))
+    said = cut(said.select(F.col("source_note_id").alias("note_id"), "state_key", F.transform("all", lambda x: x["fact"]).alias("facts")), "said")
+    number = _number(F.col("note_id"))
+    first = said.withColumn("seq", number + 1)
+    again = said.filter(number % 2 == 0).withColumn("seq", 1000 - number).withColumn("facts", F.filter("facts", lambda f: f["polarity"].isin("decision", "measurement", "plan")))
+    store = TableStore(spark, new_path(spark, "replay"), {"current_state": "state_key"})
+    store.update(lambda c: c.replace("current_state", spark.createDataFrame([], fact_sync.STATE)))
+    state.with_rocksdb(spark)
+    landing, checkpoint = new_path(spark, "landing"), new_path(spark, "replay-checkpoint")
+    for batch in (first.filter(number < 100), first.filter(number >= 100), again):
+        batch.select("state_key", "note_id", "seq", "facts").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(batch.select("state_key", "note_id", "seq", "facts").schema).parquet(landing)
+        log.run(state.note_state(stream), state.keep_state(store), checkpoint).awaitTermination()
+    return store.read("current_state").select(
+        "state_key", "source_fact_id", "value_text", "polarity", F.col("as_of").cast("timestamp_ntz").alias("as_of"), "source_note_id", "previous_value_text", "previous_claim",
+        F.col("previous_as_of").cast("timestamp_ntz").alias("previous_as_of"), "previous_source_note_id",
+    )

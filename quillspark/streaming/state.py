@@ -1,64 +1,130 @@
-"""The current state of facts kept up as events arrive, and activity windows."""
+"""The current state of facts kept up as notes are extracted again, and activity windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import STATE_POLARITIES, WINNER_RANK
+from ..config import STATE_POLARITIES
+from ..operators.fact_sync import _FACT, fold_key
 from ..shipping import ship
+from ..sources.store import Commit, TableStore
+from ..storage import cut
+
+_KINDS = {"value_num": "double", "as_of": "long", "confidence": "double"}
+FACT = ", ".join(f"{c} {_KINDS.get(c, 'string')}" for c in _FACT)
+PREVIOUS = ("value_text", "claim", "as_of", "source_note_id")
+#: What is held of a key: the fact that is its state, and what that superseded; times as microseconds.
+STATE = FACT + ", " + ", ".join(f"previous_{c} {_KINDS.get(c, 'string')}" for c in PREVIOUS)
+FACTS = "array<struct<" + ",".join(f"{c}:{_KINDS.get(c, 'string')}" for c in _FACT) + ">>"
+_FIELDS = [f.split()[0] for f in STATE.split(", ")]
+OUT = f"state_key string, gone boolean, {STATE}"
+
+
+class KeyState(StatefulProcessor):
+    """Folds the notes that touch a key in their order of arrival.
+
+    The owner of a state may replace it by an older fact, so the fold is no
+    maximum.  A note's facts are held apart from the state: where the owner no
+    longer speaks of the key, the best of what the others say takes over.  They
+    are read only then.
+    """
 
-STATE = "as_of timestamp, polarity string, confidence double, fact_id string, value_text string, claim string, source_note_id string, previous_value_text string, previous_claim string, previous_as_of timestamp, previous_source_note_id string"
-OUT = f"state_key string, {STATE}"
-_FIELDS = [f.strip().split()[0] for f in STATE.split(",")]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", STATE)
+        # the facts of each note that speaks of the key, in flat typed columns, and how many there are
+        self.said = handle.getMapState("said", "note_id string, place int", FACT)
+        self.counts = handle.getMapState("counts", "note_id string", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = dict(zip(_FIELDS, self.state.get(), strict=True)) if self.state.exists() else None
+        before, now = held, {}
+        for row in sorted(rows, key=lambda r: (r["seq"], r["note_id"])):
+            facts = list(row["facts"] or [])
+            now[row["note_id"]] = facts
+            told = [Row(fact=f, position=i, since=1, until=2) for i, f in enumerate(facts)]
+            if not facts and held is not None and held["source_note_id"] == row["note_id"]:
+                others = [self._fact(value) for (note, _), value in self.said.iterator() if note not in now]
+                told = [Row(fact=f, position=0, since=0, until=2) for f in [*others, *(f for some in now.values() for f in some)]]
+            held, _ = fold_key(held, [Row(seq=1, note_id=row["note_id"])], told)
+        for note, facts in now.items():
+            had = self.counts.getValue((note,))[0] if self.counts.containsKey((note,)) else 0
+            for place, fact in enumerate(facts):
+                self.said.updateValue((note, place), tuple(fact[c] for c in _FACT))
+            for place in range(len(facts), had):
+                self.said.removeKey((note, place))
+            if facts:
+                self.counts.updateValue((note,), (len(facts),))
+            elif had:
+                self.counts.removeKey((note,))
+        if held != before:
+            if held is None:
+                self.state.clear()
+            else:
+                self.state.update(tuple(held[c] for c in _FIELDS))
+            yield Row(state_key=key[0], gone=held is None, **{c: None if held is None else held[c] for c in _FIELDS})
+
+    @staticmethod
+    def _fact(value: tuple) -> Row:
+        return Row(*_FACT)(*value)
+
+    def close(self) -> None:
+        pass
+
+
+def facts_struct(facts: DataFrame) -> DataFrame:
+    """``facts`` with ``fact``, the struct that the state is made of; missing columns are null."""
+    have = set(facts.columns)
+    values = {c: F.unix_micros(F.col(c).cast("timestamp")) if c == "as_of" else F.col(c) if c in have else F.lit(None) for c in _FACT}
+    return facts.withColumn("fact", F.struct(*[values[c].cast(_KINDS.get(c, "string")).alias(c) for c in _FACT]))
+
+
+def note_state(extracts: DataFrame) -> DataFrame:
+    """A row for each key that an arriving batch changes: state_key, gone, and the state in typed columns.
+
+    ``extracts`` (a stream): state_key, note_id, seq and facts, all the facts
+    that a note now has of the key (none: it no longer speaks of it), in the
+    order of ``seq``.  A batch's rows of one key are held by one task, so the
+    size of a batch (``maxFilesPerTrigger``) bounds it.  Needs the RocksDB state
+    store (see :func:`with_rocksdb`).
+    """
+    ship(extracts.sparkSession)
+    typed = extracts.select("state_key", F.col("note_id").cast("string").alias("note_id"), F.col("seq").cast("long").alias("seq"), F.col("facts").cast(FACTS).alias("facts"))
+    out = typed.groupBy("state_key").transformWithState(KeyState(), OUT, "Update", "None")
+    times = {c: F.timestamp_micros(c) for c in ("as_of", "previous_as_of")}
+    return out.withColumns(times)
 
 
-def _beats(event: tuple, state: tuple) -> bool:
-    """Later, then of higher rank, then at least as confident."""
-    a, b = (event[0], WINNER_RANK.get(event[1], 0)), (state[0], WINNER_RANK.get(state[1], 0))
-    return a > b or (a == b and event[2] >= state[2])
+def keep_state(store: TableStore, table: str = "current_state") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that commits the keys that a batch of :func:`note_state` changes; a batch that runs again changes the same."""
 
+    def commit(batch: DataFrame, number: int) -> None:
+        changed = cut(batch, "state-batch")
+        rows = changed.filter("not gone").withColumnRenamed("fact_id", "source_fact_id")
 
-def apply_event(event: tuple, state: tuple | None) -> tuple:
-    """The state after an event (as_of, polarity, confidence, fact_id, value_text, claim, source_note_id).
+        def change(c: Commit) -> None:
+            have = set(rows.columns)
+            schema = c.read(table).schema
+            c.change(table, rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]), changed.select("state_key"))
+            c.stamp(batch=number)
 
-    An event of the note that owns the state replaces it, even by an older
-    fact; others must beat it.  What is superseded is kept if the value differs,
-    else what was superseded before.
-    """
-    if state is None:
-        return (*event, None, None, None, None)
-    if event[6] != state[6] and not _beats(event, state):
-        return state
-    if event[4] != state[4]:
-        return (*event, state[4], state[5], state[0], state[6])
-    return (*event, *state[7:])
+        store.update(change)
+
+    return commit
 
 
 def incremental_state(facts: DataFrame) -> DataFrame:
-    """A row for each key whose state an arriving batch changed: the incremental ledger.
+    """The state kept up event by event, those of a batch by their time; each event is all that its note has of its key."""
+    one = facts_struct(facts.filter(F.col("polarity").isin(*STATE_POLARITIES)))
+    return note_state(one.select("state_key", F.col("source_note_id").alias("note_id"), F.unix_micros(F.col("as_of").cast("timestamp")).alias("seq"), F.array("fact").alias("facts")))
 
-    Unlike the batch form this depends on the order of arrival; the two agree
-    when events come in order of time and values change.
-    """
-    ship(facts.sparkSession)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        before = now
-        for batch in batches:
-            for row in batch.sort_values(["as_of", "fact_id"])[_FIELDS[:7]].itertuples(index=False):
-                now = apply_event(tuple(row), now)
-        if now is not None and now != before:
-            state.update(now)
-            yield pd.DataFrame([(key[0], *now)], columns=["state_key", *_FIELDS])
-
-    typed = facts.filter(F.col("polarity").isin(*STATE_POLARITIES)).withColumn("as_of", F.col("as_of").cast("timestamp"))
-    return typed.groupBy("state_key").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+def with_rocksdb(spark) -> None:
+    """Have streaming queries of the session that start from now on keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def activity(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
