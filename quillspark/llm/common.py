@@ -38,11 +38,12 @@ def rows_of(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
     the shuffle.  Columns may have any name and type.
     """
     keyed = docs.select(F.struct("*").alias("_row"), id_key(F.col("doc_id")).alias("_id"), key.alias("_key"))
-    once = keyed.join(kept.filter("copies = 1"), ["_id", "_key"], "left_semi").select("_row.*")
+    # merged, as nothing bounds the number of rows that are kept
+    once = keyed.join(kept.filter("copies = 1").hint("merge"), ["_id", "_key"], "left_semi").select("_row.*")
     repeats = kept.filter("copies > 1")
     if repeats.isEmpty():
         return once
-    several = keyed.join(repeats, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.max_by("_row", F.to_json("_row")).alias("_row"))
+    several = keyed.join(repeats.hint("merge"), ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.max_by("_row", F.to_json("_row")).alias("_row"))
     return once.unionByName(several.select("_row.*"))
 
 

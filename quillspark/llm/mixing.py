@@ -109,7 +109,8 @@ def play(docs: DataFrame, **options) -> DataFrame:
         "shares",
     )
     keyed = docs.select(F.struct("*").alias("_row"), id_key(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
-    out = keyed.join(shares.filter("_rows = 1").select("_id", "_text", F.col("_times").cast("int").alias("_times")), ["_id", "_text"])
+    # merged, as nothing bounds the number of rows that are taken
+    out = keyed.join(shares.filter("_rows = 1").select("_id", "_text", F.col("_times").cast("int").alias("_times")).hint("merge"), ["_id", "_text"])
     several = shares.filter("_rows > 1")
     if not several.isEmpty():
         # a row's number among its equals: its number among all of these, less what stands before its group
