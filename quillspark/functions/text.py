@@ -20,8 +20,10 @@ def collapse(text: Column) -> Column:
 
 
 def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    """Length in UTF-16 units, as all limits are meant: characters beyond the basic plane count twice."""
+    beyond = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    # a text of fewer than three spare bytes has none of these
+    return F.length(text) + F.when(F.octet_length(text) >= F.length(text) + 3, beyond).otherwise(F.when(text.isNotNull(), 0))
 
 
 def _astral(text: Column) -> Column:
@@ -59,8 +61,8 @@ def join_nonempty(parts: list[Column], separator: str) -> Column:
 
 
 def clip(text: Column, limit: int, marker: str = "") -> Column:
-    """At most ``limit`` characters; a longer text gets ``marker`` appended."""
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(marker))).otherwise(text)
+    """At most ``limit`` UTF-16 units; a longer text gets ``marker`` appended."""
+    return F.when(utf16_length(text) > limit, F.concat(utf16_prefix(text, limit), F.lit(marker))).otherwise(text)
 
 
 def preview(text: Column, limit: int = 100) -> Column:

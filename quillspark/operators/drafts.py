@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,7 @@ from ..config import (
     UNSPECIFIED_ATTRIBUTE,
 )
 from ..functions.coercion import confidence, finite_or_null, polarity
-from ..functions.text import collapse, iso, js_trim, or_null, parse_timestamp
+from ..functions.text import collapse, iso, js_trim, or_null, parse_timestamp, utf16_length, utf16_prefix
 
 
 @F.pandas_udf(StringType())
@@ -56,12 +58,12 @@ def upgraded_attribute(attribute: Column, blob: Column) -> Column:
 def is_meaningful(claim: Column, value: Column, entity: Column) -> Column:
     """A claim that can stand alone: long enough, about the entity and the value, or with a role word."""
     low = F.lower(claim)
-    token = F.lower(F.element_at(F.filter(F.split(entity, r"\s+"), lambda t: F.length(t) >= 4), 1))
-    token = F.when(F.exists(F.split(entity, r"\s+"), lambda t: F.length(t) >= 4), token)
+    token = F.lower(F.element_at(F.filter(F.split(entity, r"\s+"), lambda t: utf16_length(t) >= 4), 1))
+    token = F.when(F.exists(F.split(entity, r"\s+"), lambda t: utf16_length(t) >= 4), token)
     about_entity = F.coalesce(F.contains(low, token), F.lit(True))
     about_value = (value == "") | F.contains(low, F.replace(F.lower(value), F.lit(","), F.lit(""))) | F.contains(low, F.lower(value))
     role = low.rlike(ROLE_WORDS)
-    return (F.length(claim) >= 24) & ~low.rlike(PRONOUN_CLAIM) & (about_entity | role) & (about_value | role)
+    return (utf16_length(claim) >= 24) & ~low.rlike(PRONOUN_CLAIM) & (about_entity | role) & (about_value | role)
 
 
 def normalise_drafts(drafts: DataFrame, unicode: bool = True) -> DataFrame:
@@ -74,19 +76,19 @@ def normalise_drafts(drafts: DataFrame, unicode: bool = True) -> DataFrame:
     d = drafts
     for c in ("entity", "attribute", "value_text", "claim", "raw_span"):
         d = d.withColumn(c, clean(c))
-    d = d.withColumn("raw_span", F.substring("raw_span", 1, 500))
-    d = d.filter((F.col("entity") != "") & (F.col("attribute") != "") & (F.col("value_text") != "") & (F.length("value_text") <= 240))
+    d = d.withColumn("raw_span", utf16_prefix(F.col("raw_span"), 500))
+    d = d.filter((F.col("entity") != "") & (F.col("attribute") != "") & (F.col("value_text") != "") & (utf16_length(F.col("value_text")) <= 240))
     e, v = F.col("entity"), F.col("value_text")
     better = upgraded_attribute(F.col("attribute"), F.concat_ws(" ", "claim", "raw_span", "entity"))
     d = d.filter(better.isNotNull() | is_meaningful(F.col("claim"), v, e)).withColumn("attribute", F.coalesce(better, F.lit(UNSPECIFIED_ATTRIBUTE)))
-    rich = F.length("raw_span") >= 40
-    from_span = F.when(F.length("raw_span") > 220, F.concat(F.substring("raw_span", 1, 217), F.lit("…"))).otherwise(F.col("raw_span"))
-    d = d.withColumn("claim", F.when(F.length("claim") >= 20, F.col("claim")).when(rich, from_span)).filter("claim is not null")
-    merged = F.substring(F.concat(e, F.lit(": "), F.col("raw_span")), 1, 280)
+    rich = utf16_length(F.col("raw_span")) >= 40
+    from_span = F.when(utf16_length(F.col("raw_span")) > 220, F.concat(utf16_prefix(F.col("raw_span"), 217), F.lit("…"))).otherwise(F.col("raw_span"))
+    d = d.withColumn("claim", F.when(utf16_length(F.col("claim")) >= 20, F.col("claim")).when(rich, from_span)).filter("claim is not null")
+    merged = utf16_prefix(F.concat(e, F.lit(": "), F.col("raw_span")), 280)
     stands = is_meaningful(F.col("claim"), v, e)
     d = d.withColumn("claim", F.when(stands, F.col("claim")).when(rich & is_meaningful(merged, v, e), merged)).filter("claim is not null")
-    d = d.withColumn("raw_span", F.when(F.length("raw_span") < 20, F.col("claim")).otherwise(F.col("raw_span")))
-    d = d.withColumn("claim", F.substring("claim", 1, 320))
+    d = d.withColumn("raw_span", F.when(utf16_length(F.col("raw_span")) < 20, F.col("claim")).otherwise(F.col("raw_span")))
+    d = d.withColumn("claim", utf16_prefix(F.col("claim"), 320))
     for c, f in (("value_num", finite_or_null), ("polarity", polarity), ("confidence", confidence)):
         if c in d.columns:
             d = d.withColumn(c, f(F.col(c)))
@@ -106,13 +108,13 @@ def is_derived_analysis(content: Column) -> Column:
     heads = F.regexp_count(content, F.lit(r"(?m)^\d+\.\s"))
     rules = F.regexp_count(content, F.lit(r"(?m)^---+$"))
     phrase = F.lower(content).rlike(DERIVED_PHRASES)
-    return (F.length(content) >= 4000) & ((heads >= 4) | (rules >= 3) | ((F.length(content) > 8000) & phrase))
+    return (utf16_length(content) >= 4000) & ((heads >= 4) | (rules >= 3) | ((utf16_length(content) > 8000) & phrase))
 
 
 def skip_reason(content: Column) -> Column:
     """Why a note is not extracted at all, else null."""
     text = js_trim(content)
-    return F.when(F.length(text) < SKIP_MIN_CHARS, "too_short").when(F.lower(text).rlike(r"^this is a test\b") & (F.length(text) < 80), "test_note")
+    return F.when(utf16_length(text) < SKIP_MIN_CHARS, "too_short").when(F.lower(text).rlike(r"^this is a test\b") & (utf16_length(text) < 80), "test_note")
 
 
 def demoted_confidence(value: Column, kind: Column, derived: Column) -> Column:
@@ -120,20 +122,31 @@ def demoted_confidence(value: Column, kind: Column, derived: Column) -> Column:
     return F.when(derived & (kind == "measurement"), F.least(value, F.lit(DEMOTED_CONFIDENCE))).otherwise(value)
 
 
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 def chunk_bounds(content: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int]]:
-    """Where the chunks of a text begin and end: at a line or sentence end if that is over 40 % in."""
+    """Where the chunks of a text begin and end: at a line or sentence end if that is over 40 % in.
+
+    ``size`` and ``overlap`` are in UTF-16 units, the bounds in characters; a
+    bound that would fall within a character is put before it.
+    """
+    units = _BEYOND.sub("\ud800\udc00", content)
     bounds, start = [], 0
-    while start < len(content):
-        end = min(len(content), start + size)
-        if end < len(content):
-            at = max(content.rfind("\n", start, end), content.rfind("\n\n", start, end), content.rfind(". ", start, end)) - start
+    while start < len(units):
+        end = min(len(units), start + size)
+        if end < len(units):
+            at = max(units.rfind("\n", start, end), units.rfind("\n\n", start, end), units.rfind(". ", start, end)) - start
             if at > size * 0.4:
                 end = start + at + 1
         bounds.append((start, end))
-        if end >= len(content):
+        if end >= len(units):
             break
         start = max(0, end - overlap)
-    return bounds
+    if len(units) == len(content):
+        return bounds
+    second = [m.start() for m in re.finditer("\udc00", units)]  # where the second unit of a character stands
+    return [(a - bisect_left(second, a + 1), b - bisect_left(second, b + 1)) for a, b in bounds]
 
 
 def chunk_notes(notes: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -148,8 +161,8 @@ def chunk_notes(notes: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_
         return texts.map(lambda t: [{"s": a + 1, "n": b - a} for a, b in chunk_bounds(t or "", size, overlap)])
 
     short = F.array(F.struct(F.lit(1).alias("s"), F.length("content").alias("n")))
-    small, large = notes.filter(F.length("content") <= size), notes.filter(F.length("content") > size)
+    small, large = notes.filter(utf16_length(F.col("content")) <= size), notes.filter(utf16_length(F.col("content")) > size)
     parts = small.select("note_id", "content", short.alias("b")).unionByName(large.select("note_id", "content", bounds("content").alias("b")))
     cut = parts.select("note_id", "content", F.posexplode("b").alias("chunk", "at"))
-    text = F.when(F.length("content") <= size, F.col("content")).otherwise(js_trim(F.expr("substring(content, at.s, at.n)")))
+    text = F.when(utf16_length(F.col("content")) <= size, F.col("content")).otherwise(js_trim(F.expr("substring(content, at.s, at.n)")))
     return cut.select("note_id", "chunk", text.alias("chunk_text")).filter(or_null(F.col("chunk_text")).isNotNull() | (F.col("chunk") == 0))

@@ -31,7 +31,7 @@ from ..config import (
     STATE_POLARITIES,
     WINNER_RANK,
 )
-from ..functions.text import js_trim, utf16_prefix
+from ..functions.text import js_trim, utf16_length, utf16_prefix
 from ..shipping import ship
 from ..sources.store import Commit, Snapshot, TableStore
 from ..storage import cut
@@ -365,7 +365,7 @@ def _sync(commit: Commit, notes: DataFrame, model: Model, limit: int, only: Data
     rows, changed = refresh_state(commit.read("current_state"), facts, steps, events, clock)
     written, _ = commit.change("fact_events", events, told.select(F.col("note_id").alias("source_note_id")))
     commit.change("current_state", rows, changed)
-    entries = told.join(work.select("note_id", "content_hash", F.length(js_trim(F.col("content"))).alias("content_length")), "note_id")
+    entries = told.join(work.select("note_id", "content_hash", utf16_length(js_trim(F.col("content"))).alias("content_length")), "note_id")
     fact_count = F.when(F.col("status") == "failed", F.coalesce("old_count", F.lit(0))).otherwise(F.col("fact_count"))
     commit.upsert(
         "fact_index",

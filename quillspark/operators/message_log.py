@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, js_trim, millis
+from ..functions.text import clip, js_trim, millis, utf16_length, utf16_prefix
 
 FIELDS = ("id", "content", "type", "ts", "source")
 
@@ -124,16 +124,16 @@ def history_summary(turns: DataFrame, entries: int = 6, each: int = 300, total:
     text = js_trim(F.col("content"))
     speaker = F.when(F.col("role") == "model", "AI").otherwise("User")
     lines = last.filter(text != "").select("ord", F.concat(speaker, F.lit(": "), clip(text, each, "…")).alias("line"))
-    upto = F.sum(F.length("line") + 1).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum(utf16_length(F.col("line")) + 1).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     # joined by newlines: the first line has none before it, so the sum is one ahead of the text's length
     start = F.row_number().over(Window.orderBy("ord"))
     return lines.select("ord", "line", (upto - F.when(start > 1, 1).otherwise(0)).alias("chars")).filter(F.col("chars") <= total)
 
 
 def prefix_dedupe(existing: DataFrame, incoming: DataFrame, order: str = "ord", limit: int = 200) -> DataFrame:
-    """One message for each type and first ``limit`` characters; existing before incoming, then the first."""
+    """One message for each type and first ``limit`` UTF-16 units; existing before incoming, then the first."""
     sides = existing.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
-    key = F.concat(F.coalesce("type", F.lit("note")), F.lit(":"), F.substring(js_trim(F.coalesce("content", F.lit(""))), 1, limit))
+    key = F.concat(F.coalesce("type", F.lit("note")), F.lit(":"), utf16_prefix(js_trim(F.coalesce("content", F.lit(""))), limit))
     columns = [c for c in existing.columns if c != order]
     first = F.min(F.struct("_side", order, *columns)).alias("_m")
     return sides.groupBy(key.alias("dedupe_key")).agg(first).select("dedupe_key", F.col(f"_m.{order}").alias(order), *[F.col(f"_m.{c}").alias(c) for c in columns])

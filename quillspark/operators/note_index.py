@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import iso, js_trim
+from ..functions.text import iso, js_trim, utf16_length
 
 
 def project_notes(messages: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def project_notes(messages: DataFrame) -> DataFrame:
         content.alias("content"),
         F.sha1(content).alias("content_hash"),
         F.col("ts").alias("note_ts"),
-        F.length(content).alias("content_length"),
+        utf16_length(content).alias("content_length"),
     )
 
 

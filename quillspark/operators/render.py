@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COMBINE_OVERHEAD, MAX_STATE_CHARS, STATE_FRACTION
-from ..functions.text import js_trim, or_null, stamp
+from ..functions.text import js_trim, or_null, stamp, utf16_length
 from .ledger import display_order, supersessions
 
 
@@ -49,7 +49,7 @@ def packed_state(state: DataFrame, max_chars: int = MAX_STATE_CHARS) -> DataFram
     """
     lines = state.withColumn("line", state_line(state)).orderBy(*display_order()).limit(max_chars // 20 + 1)
     w = Window.orderBy(*display_order())
-    summed = lines.withColumn("rank", F.row_number().over(w)).withColumn("chars", F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = lines.withColumn("rank", F.row_number().over(w)).withColumn("chars", F.sum(utf16_length(F.col("line")) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return summed.filter(F.col("chars") <= max_chars).select("rank", "state_key", "line", "chars")
 
 
@@ -83,7 +83,7 @@ def world_state(state: DataFrame, max_chars: int = MAX_STATE_CHARS) -> DataFrame
 def budget_split(state: DataFrame, total: int) -> DataFrame:
     """One row: total, state_chars, notes_chars."""
     lines = world_state(state, state_budget(total))
-    used = lines.agg(F.coalesce(F.sum(F.length("line") + 1) - 1, F.lit(0)).alias("state_chars"))
+    used = lines.agg(F.coalesce(F.sum(utf16_length(F.col("line")) + 1) - 1, F.lit(0)).alias("state_chars"))
     left = F.when(F.col("state_chars") == 0, F.lit(total)).otherwise(F.greatest(F.lit(0), F.lit(total) - F.col("state_chars") - COMBINE_OVERHEAD))
     return used.select(F.lit(total).alias("total"), "state_chars", left.alias("notes_chars"))
 

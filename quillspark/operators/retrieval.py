@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Profile
 from ..functions.scoring import combined, density_bonus, is_recent, keyword_score, recency, similarity
-from ..functions.text import millis, stamp
+from ..functions.text import millis, stamp, utf16_length
 
 
 def score(notes: DataFrame, index: DataFrame, queries: Sequence[Sequence[float]], now_ms: int, profile: Profile, terms: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +79,7 @@ def selection(candidates: DataFrame, profile: Profile) -> DataFrame:
 def hydrate(candidates: DataFrame, notes: DataFrame) -> DataFrame:
     """Add the content; notes without any drop out."""
     full = notes.filter(F.col("content") != "").select("note_id", "content")
-    return candidates.drop("content_length").join(full, "note_id").withColumn("content_length", F.length("content"))
+    return candidates.drop("content_length").join(full, "note_id").withColumn("content_length", utf16_length(F.col("content")))
 
 
 def prompt_line(style: str, zone: str = "UTC") -> Column:
@@ -104,7 +104,7 @@ def greedy_pack(notes: DataFrame, place: list[Column], budget: int, style: str,
     budget, while all notes count.
     """
     spark = notes.sparkSession
-    sized = notes.withColumn("line_length", F.length(prompt_line(style, zone)))
+    sized = notes.withColumn("line_length", utf16_length(prompt_line(style, zone)))
     picked: list[tuple[str, int, int, int | None]] = []
     total = 0
     at_most = max(1, budget // SHORTEST_LINE + 1)
@@ -113,8 +113,10 @@ def greedy_pack(notes: DataFrame, place: list[Column], budget: int, style: str,
         head = rest.orderBy(*place).limit(1).collect()
         if head and head[0]["line_length"] > budget:
             room = max(120, budget - 32)
-            content = head[0]["content"][:room].rstrip()
-            length = head[0]["line_length"] - len(head[0]["content"]) + len(content)
+            whole = head[0]["content"]
+            content = whole.encode("utf-16-le", "surrogatepass")[: 2 * room].decode("utf-16-le", "ignore").rstrip()
+            units = lambda text: len(text.encode("utf-16-le", "surrogatepass")) // 2
+            length = head[0]["line_length"] - units(whole) + units(content)
             picked.append((head[0]["note_id"], 1, length, len(content)))
             total = length + 2  # with the ellipsis and the newline
             rest = rest.filter(F.col("note_id") != head[0]["note_id"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PROFILES
+from ..functions.text import utf16_length
 from ..operators import render, retrieval
 from ..operators.ledger import current_state
 from ..storage import cut
@@ -64,7 +65,7 @@ def recent_notes(notes: DataFrame, budget: int, style: str) -> DataFrame:
 def diagnostics(picked: DataFrame, notes: DataFrame, profile_name: str) -> DataFrame:
     """One row about a retrieval: counts, characters, and the share of the corpus's text that was left out."""
     style = PROFILES[profile_name].timestamp_style
-    line = F.length(retrieval.prompt_line(style)) + 1
+    line = utf16_length(retrieval.prompt_line(style)) + 1
     all_notes = notes.agg(F.count(F.lit(1)).alias("available_notes"), F.greatest(F.lit(0), F.sum(line) - 1).alias("full_chars"))
     chosen = picked.agg(
         F.count(F.lit(1)).alias("selected_notes"),

@@ -8,7 +8,7 @@ from ..functions import coercion
 from ..functions.text import collapse, join_nonempty, stamp
 from ..operators import drafts, ledger, render
 from ..sources import views
-from ..sources.views import with_views
+from ..sources.views import units, with_views
 from ..storage import running_sum
 from .registry import query
 
@@ -94,7 +94,7 @@ DISPLAY = "CASE polarity WHEN 'measurement' THEN 0 WHEN 'decision' THEN 1 WHEN '
 LINES = f"""lines AS (SELECT state_key, row_number() OVER (ORDER BY {DISPLAY}, as_of DESC, state_key) AS rank, as_of, previous_value_text,
   '- ' || claim || ' [' || polarity || ', as of ' || strftime(as_of, '%Y-%m-%d') || ']' || CASE WHEN previous_claim IS NOT NULL THEN '  (was: ' || previous_claim || ')' ELSE '' END AS line,
   '- ' || strftime(as_of, '%Y-%m-%d') || ' · ' || previous_claim || ' → ' || claim AS change FROM current_state)"""
-PACKED = "packed AS (SELECT rank, state_key, line, CAST(chars AS BIGINT) AS chars FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY rank) AS chars FROM lines) WHERE chars <= {})"
+PACKED = "packed AS (SELECT rank, state_key, line, CAST(chars AS BIGINT) AS chars FROM (SELECT *, sum(" + units("line").replace("{", "{{").replace("}", "}}") + " + 1) OVER (ORDER BY rank) AS chars FROM lines) WHERE chars <= {})"
 
 
 @query("state_display_order", with_views(f"WITH {LINES} SELECT rank, state_key, line FROM lines", "current_state"))

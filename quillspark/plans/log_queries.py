@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import batch_number, document_id, js_trim, millis, preview, word_count
+from ..functions.text import batch_number, document_id, js_trim, millis, preview, utf16_length, word_count
 from ..operators import message_log as log
 from ..operators import note_index as index
 from ..sources import views
-from ..sources.views import with_views
+from ..sources.views import units, with_views
 from .registry import query
 
 def _digest(df: DataFrame) -> DataFrame:
@@ -164,10 +164,10 @@ def log_prefix_dedupe(spark, sf):
     return log.prefix_dedupe(m.filter("source = 'doc'"), m.filter("source <> 'doc'")).select("id", "ts")
 
 
-@query("log_text_stats", with_views("SELECT id, length(content) AS chars, len(regexp_split_to_array(trim(content), '\\s+')) AS words, CASE WHEN length(content) > 80 THEN content[1:80] || '...' ELSE content END AS title FROM messages WHERE trim(content) <> ''", "messages"))
+@query("log_text_stats", with_views(f"SELECT id, {units("content")} AS chars, len(regexp_split_to_array(trim(content), '\\s+')) AS words, CASE WHEN length(content) > 80 THEN content[1:80] || '...' ELSE content END AS title FROM messages WHERE trim(content) <> ''", "messages"))
 def log_text_stats(spark, sf):
     m = views.messages(spark, sf).filter(js_trim(F.col("content")) != "")
-    return m.select("id", F.length("content").alias("chars"), word_count(F.col("content")).alias("words"), preview(F.col("content"), 80).alias("title"))
+    return m.select("id", utf16_length(F.col("content")).alias("chars"), word_count(F.col("content")).alias("words"), preview(F.col("content"), 80).alias("title"))
 
 
 @query("log_batches", with_views("SELECT type, batch, count(*) n FROM (SELECT type, (row_number() OVER (PARTITION BY type, source ORDER BY ts, id) - 1) // 12 AS batch FROM messages) GROUP BY ALL", "messages"))
@@ -180,7 +180,7 @@ def log_batches(spark, sf):
 # --- notes and index
 
 
-@query("note_projection", with_views("SELECT id AS note_id, sha1(trim(content)) content_hash, ts AS note_ts, length(trim(content)) AS content_length FROM messages WHERE type = 'note' AND trim(content) <> ''", "messages"))
+@query("note_projection", with_views(f"SELECT id AS note_id, sha1(trim(content)) content_hash, ts AS note_ts, {units("trim(content)")} AS content_length FROM messages WHERE type = 'note' AND trim(content) <> ''", "messages"))
 def note_projection(spark, sf):
     return index.project_notes(views.messages(spark, sf)).drop("content")
 

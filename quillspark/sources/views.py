@@ -145,6 +145,11 @@ VIEW_SQL = {
 _NEEDS = {"messages": ["notes"], "fact_index": ["note_embeddings"], "ranked_facts": ["fact_events"], "current_state": ["ranked_facts"]}
 
 
+def units(text: str) -> str:
+    """SQL for the length of a text in UTF-16 units."""
+    return f"(length({text}) + length(regexp_replace({text}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
 def with_views(body: str, *names: str) -> str:
     """``body`` behind a WITH clause of the views it names and of those they need."""
     order: list[str] = []
