@@ -30,6 +30,8 @@ END_ID = 1
 OPEN_BINS = 2048
 #: Pieces for each packing task; the bins left open at its end are few against it.
 PIECES_PER_TASK = 100_000
+#: Pieces that a worker's cache of ids holds; some 500 bytes each with all that belongs to them.
+CACHE_PIECES = 500_000
 
 
 class BestFit:
@@ -75,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaces: str, sequence_tokens: int =
     end = np.array([end_id], np.uint32)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer, spaces)
+        enc = encoder(tokenizer, spaces, cache_pieces=CACHE_PIECES)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch["doc_id"].array, enc.encode("" if t is None else t for t in batch["text"]), strict=True):

@@ -43,7 +43,7 @@ class PieceEncoder:
     of another kind is refused.  Ids are ``width`` bytes wide, little-endian.
     """
 
-    def __init__(self, path: str, spaces: str, width: int = 4):
+    def __init__(self, path: str, spaces: str, width: int = 4, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if spaces not in ("drop", "keep"):
             raise ValueError(spaces)
@@ -58,6 +58,7 @@ class PieceEncoder:
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache: dict[str, bytes] = {}
+        self.cache_pieces = cache_pieces
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(tokens.values()) + 1, np.int64)
         self.token_bytes[list(tokens.values())] = [len(t.removesuffix(self.tokenizer.model.end_of_word_suffix or "")) for t in tokens]
@@ -133,9 +134,9 @@ class PieceEncoder:
         """The ids of distinct pieces."""
         found = list(map(self.cache.get, pieces))
         missing = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
-        if len(self.cache) + len(missing) > CACHE_PIECES:
+        if len(self.cache) + len(missing) > self.cache_pieces:
             # the frequent pieces came first: keep those that came early
-            self.cache = dict(islice(self.cache.items(), CACHE_PIECES // 2))
+            self.cache = dict(islice(self.cache.items(), self.cache_pieces // 2))
         self._learn(missing)
         return [self.cache[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
 
@@ -174,9 +175,9 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, spaces: str, width: int = 4) -> PieceEncoder:
-    """One for each worker process, file, mode and width."""
-    return PieceEncoder(path, spaces, width)
+def encoder(path: str, spaces: str, width: int = 4, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """One for each worker process, file, mode, width and size of cache."""
+    return PieceEncoder(path, spaces, width, cache_pieces)
 
 
 def vocabulary(name: str) -> str:
