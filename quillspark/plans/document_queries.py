@@ -9,6 +9,7 @@ from ..functions.text import duration_label, js_round, utf16_length
 from ..operators import model_json, render
 from ..sources import exports, feed, views
 from ..sources.views import with_views
+from ..storage import new_path
 from .registry import query
 
 
@@ -49,7 +50,7 @@ def feed_union_sources(spark, sf):
 def import_export_roundtrip(spark, sf):
     """Each note exported as text of its own and read back: lines, then the importer."""
     lines = render.note_lines(views.notes(spark, sf))
-    read = lines.select(F.col("note_id").alias("file"), F.posexplode(F.split("line", "\n")).alias("line_no", "line"))
+    read = lines.select(F.col("note_id").alias("file"), F.lit("").alias("block"), F.posexplode(F.split("line", "\n")).alias("at", "line"))
     back = exports.parse_export(read)
     return back.select("type", F.col("ts").cast("timestamp_ntz").alias("ts"), F.sha1("content").alias("content_sha1"))
 
@@ -63,11 +64,35 @@ def import_export_roundtrip(spark, sf):
 )
 def import_long_dates(spark, sf):
     stamped = F.concat(F.lit("["), F.date_format("note_ts", "MMM d, yyyy, hh:mm a"), F.lit("] "), F.col("content"))
-    read = views.notes(spark, sf).select(F.col("note_id").alias("file"), F.posexplode(F.split(stamped, "\n")).alias("line_no", "line"))
+    read = views.notes(spark, sf).select(F.col("note_id").alias("file"), F.lit("").alias("block"), F.posexplode(F.split(stamped, "\n")).alias("at", "line"))
     back = exports.parse_export(read, long_dates=True, id_style="position")
     return back.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.sha1("content").alias("content_sha1"))
 
 
+_IMPORTED = r"""WITH lined AS (SELECT note_id, note_ts, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)),
+  lambda x: x <> '' AND NOT starts_with(x, '===') AND NOT starts_with(x, 'Total messages') AND NOT starts_with(x, 'Notes found') AND NOT starts_with(x, 'Exported')) AS body, trim(string_split(content, chr(10))[1]) AS first FROM notes),
+numbered AS (SELECT *, row_number() OVER (ORDER BY note_ts, note_id) AS note_no, strftime(date_trunc('minute', note_ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS iso FROM lined)
+SELECT note_no, {id} AS id, date_trunc('minute', note_ts) AS ts, sha1(array_to_string(body, chr(10))) AS content_sha1 FROM numbered"""
+
+
+def _imported(spark, sf, id_style):
+    """All notes exported as one text in time order, in part files, and read back by splits."""
+    folder = new_path(spark, "export")
+    render.write_lines(render.note_lines(views.notes(spark, sf)), folder, "note_ts", "note_id")
+    back = exports.parse_export(exports.read_lines(spark, folder, folder_is_one=True), id_style=id_style)
+    return back.select("note_no", "id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.sha1("content").alias("content_sha1"))
+
+
+@query("import_whole_export", with_views(_IMPORTED.replace("{id}", "'migrated-' || sha1('note:' || iso || ':' || first)[1:20]"), "notes"))
+def import_whole_export(spark, sf):
+    return _imported(spark, sf, "content")
+
+
+@query("import_by_position", with_views(_IMPORTED.replace("{id}", "'restored-note-' || (note_no - 1)"), "notes"))
+def import_by_position(spark, sf):
+    return _imported(spark, sf, "position")
+
+
 def _turns(spark, sf):
     return views.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
 

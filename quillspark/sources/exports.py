@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
+from ..storage import cut
 
 #: A note begins with ``[M/D/YY, H:MM AM] text``; a narrow no-break space may stand before AM.
 NOTE_HEAD = r"^\[(\d{1,2}/\d{1,2}/\d{2,4},\s*\d{1,2}:\d{2}[\s\x{202F}]*(?:AM|PM|am|pm))\]\s*(.*)$"
@@ -13,10 +14,37 @@ NOTE_HEAD = r"^\[(\d{1,2}/\d{1,2}/\d{2,4},\s*\d{1,2}:\d{2}[\s\x{202F}]*(?:AM|PM|
 EXPORT_HEADS = ("===", "Total messages", "Notes found", "Exported")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line.  Files are read whole, one row each, so that lines keep their numbers."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+def read_lines(spark: SparkSession, path: str, folder_is_one: bool = False) -> DataFrame:
+    """file, block, at, line: the lines of text files, read in as many splits as they have.
+
+    ``block`` is the split's first byte and ``at`` rises within it, so (block,
+    at) is the order of a file's lines.  With ``folder_is_one`` the files are
+    parts of one export, in the order of their names: ``file`` is the folder, and
+    ``block`` begins with the part's name.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    place = F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0")
+    name = F.col("_metadata.file_path")
+    folder = F.regexp_extract(name, r"^(.*)/[^/]*$", 1)
+    file, block = (folder, F.concat_ws("/", F.col("_metadata.file_name"), place)) if folder_is_one else (name, place)
+    return text.select(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def numbered_notes(rows: DataFrame) -> DataFrame:
+    """Add ``note_no`` (heads up to this line) and ``line_no`` (lines before it) to rows (file, block, at, _head, ...).
+
+    Each split counts its own lines and heads; what stands before a split is a
+    sum over the splits before it, one narrow row for each.  So a line before
+    the first head of its split belongs to the note that is open where the split
+    begins, and no file is one row or one window.
+    """
+    own = Window.partitionBy("file", "block").orderBy("at")
+    counted = cut(rows.withColumn("_heads", F.sum(F.col("_head").cast("long")).over(own)).withColumn("_line", F.row_number().over(own) - 1), "import-lines")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = counted.groupBy("file", "block").agg(F.max("_heads").alias("_h"), F.count(F.lit(1)).alias("_l"))
+    splits = splits.select("file", "block", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h"), F.coalesce(F.sum("_l").over(before), F.lit(0)).alias("_l"))
+    placed = counted.join(cut(splits, "import-splits"), ["file", "block"])
+    return placed.withColumn("note_no", F.col("_heads") + F.col("_h")).withColumn("line_no", F.col("_line") + F.col("_l")).drop("_heads", "_line", "_h", "_l", "block", "at")
 
 
 def _time(stamp: Column) -> Column:
@@ -31,7 +59,7 @@ def _time(stamp: Column) -> Column:
 
 
 def parse_export(lines: DataFrame, long_dates: bool = False, id_style: str = "content") -> DataFrame:
-    """file, note_no, id, content, type, ts of the notes in exported lines.
+    """file, note_no, id, content, type, ts of the notes in exported lines (file, block, at, line).
 
     A head line begins a note; the lines after it, trimmed and without blank
     ones, go on with it.  Lines that look like the export's own head are left
@@ -54,7 +82,7 @@ def parse_export(lines: DataFrame, long_dates: bool = False, id_style: str = "co
         is_head = F.col("_text").rlike(NOTE_HEAD)
         stamp, body = F.regexp_extract("_text", NOTE_HEAD, 1), F.regexp_extract("_text", NOTE_HEAD, 2)
         ts = _time(stamp)
-    numbered = rows.withColumn("_head", is_head).withColumn("note_no", F.sum(F.when(F.col("_head"), 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line_no")))
+    numbered = numbered_notes(rows.withColumn("_head", is_head))
     pieces = numbered.filter("note_no > 0").select(
         "file", "note_no", "line_no", F.when(F.col("_head"), js_trim(body)).otherwise(F.col("_text")).alias("piece"), F.when(F.col("_head"), ts).alias("ts"), "_head"
     )

@@ -286,6 +286,42 @@ def test_import(spark, tmp_path):
     assert got[0]["id"].startswith("migrated-") and len(got[0]["id"]) == 29
 
 
+@pytest.mark.parametrize("style", ["content", "position"])
+def test_import_by_splits(spark, tmp_path, style):
+    """One export read whole, in four splits and in forty gives the same notes; so do its parts as one folder."""
+    r = random.Random(3)
+    lines, want = ["=== Export", "before any note"], []
+    for i in range(150):
+        body = [f"note {i}"] + [r.choice(["more text é", "  spaced  ", "", "Exported line", "x" * 300, "[not a head] y"]) for _ in range(r.choice([0, 1, 2, 30]))]
+        lines += [f"[1/{1 + i % 28}/24, {1 + i % 12}:{i % 60:02d} PM] {body[0]}", *body[1:]]
+        want.append("\n".join(b.strip() for b in body if b.strip() and not b.startswith("Exported")))
+    raw = "\n".join(lines).encode()
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "export.txt").write_bytes(raw)
+    (tmp_path / "parts").mkdir()
+    for k in range(7):  # parts end with a line
+        (tmp_path / "parts" / f"part-{k:05d}.txt").write_text("\n".join(lines[len(lines) * k // 7 : len(lines) * (k + 1) // 7]) + "\n")
+    seen = {}
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    old["spark.sql.files.minPartitionNum"] = None
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for n in (1, 4, 40):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(n))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(-(-len(raw) // n)))
+            rows = exports.read_lines(spark, str(tmp_path / "one"))
+            assert n / 2 <= rows.rdd.getNumPartitions() <= n + 1
+            seen[n] = exports.parse_export(rows, id_style=style).drop("file").orderBy("note_no").collect()
+            seen[f"parts {n}"] = exports.parse_export(exports.read_lines(spark, str(tmp_path / "parts"), folder_is_one=True), id_style=style).drop("file").orderBy("note_no").collect()
+    finally:
+        for c, value in old.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+    assert [x["content"] for x in seen[1]] == want and [x["note_no"] for x in seen[1]] == list(range(1, 151))
+    assert all(rows == seen[1] for rows in seen.values())
+    if style == "position":
+        assert [x["id"] for x in seen[1]] == [f"restored-note-{i}" for i in range(150)]
+
+
 def test_feed(spark):
     raw = {"totalDishes": 1, "lastUpdated": "2024-01-01", "dishes": [{"name": "soup", "cost": {"amount": "3", "unit": "MXN"}, "lastUpdated": "2024-01-01", "calculationNotes": "n"}]}
     df = spark.createDataFrame([(json.dumps(raw),), ("broken",)], "value string")
