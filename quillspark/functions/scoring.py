@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RECENT_BONUS, RECENT_SCORE, STOP_WORDS, Profile
@@ -71,3 +71,15 @@ def keyword_score(content: Column, terms: Sequence[str]) -> Column:
         return F.lit(0.0)
     low = F.lower(content)
     return sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0)) / F.lit(len(terms))
+
+
+def pair_scores(notes: DataFrame, queries: DataFrame, block: int = 64) -> DataFrame:
+    """query_id, note_id, score (at least 0) of every note and query (query_id, embedding).
+
+    Queries meet the notes in blocks of about ``block`` vectors, so the rows
+    between the two are notes times blocks, and a block bounds what a task holds.
+    """
+    n = max(1, -(-queries.count() // block))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))).alias("qs"))
+    scored = notes.crossJoin(blocks.select("qs")).select("note_id", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.greatest(F.lit(0.0), dot(q["v"], F.col("embedding"))).alias("s")))).alias("e"))
+    return scored.select("e.query_id", "note_id", F.col("e.s").alias("score"))

@@ -12,6 +12,10 @@ from ..storage import cut
 STATE = ("entity", "attribute", "claim", "value_text", "value_num", "polarity", "as_of", "confidence", "source_note_id", "fact_id")
 
 
+#: Parts in which a note's facts are cut to the number that it keeps.
+SALTS = 64
+
+
 def _rank(ranks: dict[str, int], other: int) -> Column:
     out = F.lit(other)
     for name, rank in ranks.items():
@@ -72,16 +76,21 @@ def dedupe_facts(facts: DataFrame, order: str = "fact_id", per_note: int = MAX_F
     """Of a note's equal facts (key, value, polarity, day) the most confident, the first among ties.
 
     A kept fact stands where the first of its equals stood; a note keeps at most
-    ``per_note`` facts, by that position.  Minima and maxima only, before one
-    window over a note's own facts.
+    ``per_note`` facts, by that position.  Minima and maxima only, before the
+    first ``per_note`` of each of a note's ``SALTS`` parts are put in order, and
+    then those of the note: however many facts it has, few meet in one task.
     """
     columns = [c for c in facts.columns if c not in ("source_note_id",)]
     key = [F.col("source_note_id"), F.col("state_key"), F.lower("value_text").alias("_value"), F.col("polarity").alias("_polarity"), F.date_format("as_of", "yyyy-MM-dd").alias("_day")]
     best = F.min(F.struct(-F.col("confidence"), F.col(order), F.struct(*[c for c in columns if c != "state_key"]).alias("f")))
     kept = facts.groupBy(*key).agg(best["f"].alias("f"), F.min(order).alias("position"))
+    salted = kept.withColumn("_salt", F.pmod(F.xxhash64("position"), F.lit(SALTS)))
+    part = Window.partitionBy("source_note_id", "_salt").orderBy("position")
     w = Window.partitionBy("source_note_id").orderBy("position")
     return (
-        kept.withColumn("_n", F.row_number().over(w))
+        salted.withColumn("_m", F.row_number().over(part))
+        .filter(F.col("_m") <= per_note)
+        .withColumn("_n", F.row_number().over(w))
         .filter(F.col("_n") <= per_note)
         .select("source_note_id", "state_key", "position", *[F.col(f"f.{c}").alias(c) for c in columns if c != "state_key"])
     )

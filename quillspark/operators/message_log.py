@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, js_trim, millis, utf16_length, utf16_prefix
+from ..functions.text import batch_number, clip, js_trim, millis, utf16_length, utf16_prefix
+from ..storage import cut, running_sum
 
 FIELDS = ("id", "content", "type", "ts", "source")
 
@@ -137,3 +138,22 @@ def prefix_dedupe(existing: DataFrame, incoming: DataFrame, order: str = "ord",
     columns = [c for c in existing.columns if c != order]
     first = F.min(F.struct("_side", order, *columns)).alias("_m")
     return sides.groupBy(key.alias("dedupe_key")).agg(first).select("dedupe_key", F.col(f"_m.{order}").alias(order), *[F.col(f"_m.{c}").alias(c) for c in columns])
+
+
+def batch_counts(log: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
+    """type, batch, n: the batches of ``size`` messages that each group falls into, in ``order``.
+
+    A message's number is its place among all, less what stands before its
+    group: running sums over ranges, so a group of any size is spread over tasks.
+    """
+    known = [F.col(g).isNotNull().alias(f"_k{i}") for i, g in enumerate(group)]
+    rows = log.select(*group, *order, *known, F.lit(1).cast("long").alias("_one"))
+    by = [c for i, g in enumerate(group) for c in (f"_k{i}", g)]
+    placed = running_sum(rows, [*by, *order], "_one", "_place", "batches")
+    starts = cut(placed.groupBy(*group).agg(F.min("_place").alias("_start")), "batch-starts")
+    same = None
+    for g in group:
+        now = placed[g].eqNullSafe(starts[g])
+        same = now if same is None else same & now
+    numbered = placed.join(starts, same).select(placed["type"], batch_number(F.col("_place") - F.col("_start"), size).alias("batch"))
+    return numbered.groupBy("type", "batch").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,14 +12,17 @@ from ..functions.scoring import combined, density_bonus, is_recent, keyword_scor
 from ..functions.text import millis, stamp, utf16_length
 
 
-def score(notes: DataFrame, index: DataFrame, queries: Sequence[Sequence[float]], now_ms: int, profile: Profile, terms: Sequence[str] = ()) -> DataFrame:
+def score(notes: DataFrame, index: DataFrame, queries: Sequence[Sequence[float]], now_ms: int, profile: Profile, terms: Sequence[str] = (), style: str | None = None) -> DataFrame:
     """Scores of every indexed note: note_id, note_ts, content_length, similarity, recency, keyword, score.
 
+    With ``style`` also line_length, that of its line in a prompt (null without content).
+
     The keyword part is 0 unless ``terms`` are given, as index rows carry no
     content.  Only narrow columns are joined; contents come later, for the few
     notes that are picked.
     """
-    narrow = [c for c in ("note_id", "note_ts", "content_length", *(["content"] if terms else []))]
+    line = F.when(F.col("content") != "", utf16_length(prompt_line(style))).alias("line_length") if style else None
+    narrow = ["note_id", "note_ts", "content_length", *(["content"] if terms else []), *([line] if style else [])]
     scored = notes.select(*narrow).join(index.filter(F.size("embedding") > 0).select("note_id", "embedding"), "note_id")
     parts = scored.select(
         "note_id",
@@ -29,6 +32,7 @@ def score(notes: DataFrame, index: DataFrame, queries: Sequence[Sequence[float]]
         recency(F.col("note_ts"), now_ms, profile).alias("recency"),
         (keyword_score(F.col("content"), terms) if terms else F.lit(0.0)).alias("keyword"),
         density_bonus(F.col("content_length"), profile).alias("bonus"),
+        *(["line_length"] if style else []),
     )
     total = combined(F.col("similarity"), F.col("recency"), F.col("keyword"), F.col("bonus"), profile)
     return parts.withColumn("score", total).drop("bonus")
@@ -90,38 +94,38 @@ def prompt_line(style: str, zone: str = "UTC") -> Column:
 SHORTEST_LINE = 13
 
 
-def greedy_pack(notes: DataFrame, place: list[Column], budget: int, style: str, truncate_first: bool = True, zone: str = "UTC") -> DataFrame:
-    """Fill ``budget`` characters with lines in ascending order of ``place``; one that doesn't fit is skipped, not the end.
+#: What a packing picks: the note, its turn, the length of its line, and the characters that a cut content keeps (else None).
+Pick = tuple[str, int, int, int | None]
+
+
+def greedy_picks(sized: DataFrame, place: list[Column], budget: int, content_of: Callable[[str], str] | None = None) -> list[Pick]:
+    """Fill ``budget`` UTF-16 units with lines in ascending order of ``place``; one that doesn't fit is skipped, not the end.
 
-    Adds ``pick`` (1, 2, ...), ``line_length`` and ``cut_to`` (characters that a
-    truncated content keeps, else null).  With ``truncate_first`` a first note
-    beyond the whole budget is cut to max(120, budget - 32) characters, so there
-    is always one.
+    ``sized`` has note_id and line_length.  With ``content_of`` a first note
+    beyond the whole budget is cut to max(120, budget - 32) units, so there is
+    always one.
 
     Each pass takes the first ``budget / SHORTEST_LINE`` notes in order that
     still fit the space left, as many as could ever be picked, and folds them;
     the next goes on behind them.  So what reaches the driver is bounded by the
     budget, while all notes count.
     """
-    spark = notes.sparkSession
-    sized = notes.withColumn("line_length", utf16_length(prompt_line(style, zone)))
-    picked: list[tuple[str, int, int, int | None]] = []
+    picked: list[Pick] = []
     total = 0
     at_most = max(1, budget // SHORTEST_LINE + 1)
-    rest = sized
-    if truncate_first:
-        head = rest.orderBy(*place).limit(1).collect()
+    names = [f"_p{i}" for i in range(len(place))]
+    rest = sized.select("note_id", "line_length", *[c.alias(n) for c, n in zip(place, names, strict=True)])
+    if content_of is not None:
+        head = rest.orderBy(*names).limit(1).collect()
         if head and head[0]["line_length"] > budget:
             room = max(120, budget - 32)
-            whole = head[0]["content"]
+            whole = content_of(head[0]["note_id"])
             content = whole.encode("utf-16-le", "surrogatepass")[: 2 * room].decode("utf-16-le", "ignore").rstrip()
             units = lambda text: len(text.encode("utf-16-le", "surrogatepass")) // 2
             length = head[0]["line_length"] - units(whole) + units(content)
             picked.append((head[0]["note_id"], 1, length, len(content)))
             total = length + 2  # with the ellipsis and the newline
             rest = rest.filter(F.col("note_id") != head[0]["note_id"])
-    names = [f"_p{i}" for i in range(len(place))]
-    rest = rest.select("note_id", "line_length", *[c.alias(n) for c, n in zip(place, names, strict=True)])
     while total < budget:
         rows = rest.filter(F.col("line_length") <= budget - total).orderBy(*names).limit(at_most).collect()
         for row in rows:
@@ -132,8 +136,23 @@ def greedy_pack(notes: DataFrame, place: list[Column], budget: int, style: str,
             break
         # what was passed over here doesn't fit later either: go on behind the last row
         rest = rest.filter(F.struct(*names) > F.struct(*[F.lit(rows[-1][n]).alias(n) for n in names]))
-    chosen = spark.createDataFrame(picked, "note_id string, pick int, line_length int, cut_to int")
-    return notes.join(F.broadcast(chosen), "note_id")  # at most budget / SHORTEST_LINE rows
+    return picked
+
+
+def picked_notes(notes: DataFrame, picked: Sequence[Pick]) -> DataFrame:
+    """The rows of ``notes`` that were picked, with pick, line_length and cut_to; at most a budget's worth of lines."""
+    chosen = notes.sparkSession.createDataFrame(list(picked), "note_id string, pick int, line_length int, cut_to int")
+    return notes.join(F.broadcast(chosen), "note_id")
+
+
+def content_of(notes: DataFrame) -> Callable[[str], str]:
+    return lambda note_id: notes.filter(F.col("note_id") == note_id).select("content").first()["content"]
+
+
+def greedy_pack(notes: DataFrame, place: list[Column], budget: int, style: str, truncate_first: bool = True, zone: str = "UTC") -> DataFrame:
+    """:func:`greedy_picks` of whole notes; adds pick, line_length and cut_to."""
+    sized = notes.withColumn("line_length", utf16_length(prompt_line(style, zone)))
+    return picked_notes(notes, greedy_picks(sized, place, budget, content_of(notes) if truncate_first else None))
 
 
 def sweep_pack(candidates: DataFrame, budget: int, style: str, zone: str = "UTC") -> DataFrame:

@@ -33,27 +33,27 @@ def relevant_notes(
 
     State lines take their share of the budget first.  The best notes fill what
     is left; then short notes with a fair score fill a part of what they leave.
-    Scores are narrow rows, written once, as every pass reads them; they are
-    joined with contents only once few notes remain.
+    Scores and line lengths are narrow rows, written once, as every pass reads
+    them; contents are joined to the notes that were picked, a budget's worth.
     """
     profile = PROFILES[profile_name]
-    scored = cut(retrieval.score(notes, index, queries, now_ms, profile, terms), "scored")
+    style, place = profile.timestamp_style, retrieval.rank_place()
+    scored = cut(retrieval.score(notes, index, queries, now_ms, profile, terms, style), "scored")
     budget = profile.max_prompt_chars
     if facts is not None:
-        split = render.budget_split(current_state(facts), budget).first()
-        budget = split["notes_chars"]
-    best = retrieval.selection(retrieval.top_candidates(scored, profile), profile)
-    primary = retrieval.hydrate(best, notes)
-    packed = retrieval.greedy_pack(primary, retrieval.rank_place(), budget, profile.timestamp_style)
-    # what was picked is a few dozen rows, the profile's selection limit at most
-    sizes = packed.agg(F.coalesce(F.sum(F.col("line_length") + 1), F.lit(0)).alias("n")).first()["n"]
-    room = min(int(budget * profile.short_budget_ratio), max(0, budget - sizes))
-    short = scored.filter((F.col("content_length") > 0) & (F.col("content_length") <= profile.short_max) & (F.col("score") >= profile.short_min_score))
-    others = short.join(packed.select("note_id"), "note_id", "left_anti")
-    swept = retrieval.sweep_pack(retrieval.hydrate(others, notes), room, profile.timestamp_style)
+        budget = render.budget_split(cut(current_state(facts), "current"), budget).first()["notes_chars"]
+    # at most the profile's limit of candidates, so its selection is folded as rows
+    best = cut(retrieval.selection(retrieval.top_candidates(scored, profile), profile).filter("line_length is not null"), "best")
+    primary = retrieval.greedy_picks(best, place, budget, retrieval.content_of(notes))
+    room = min(int(budget * profile.short_budget_ratio), max(0, budget - sum(length + 1 for _, _, length, _ in primary)))
+    sweep: list[retrieval.Pick] = []
+    if room > 1:
+        short = scored.filter((F.col("content_length") > 0) & (F.col("content_length") <= profile.short_max) & (F.col("score") >= profile.short_min_score))
+        sweep = retrieval.greedy_picks(short.filter(F.col("line_length").isNotNull() & ~F.col("note_id").isin([p[0] for p in primary])), place, room - 1)
+    parts = notes.sparkSession.createDataFrame([(p[0], name) for picks, name in ((primary, "primary"), (sweep, "sweep")) for p in picks], "note_id string, part string")
+    picked = retrieval.picked_notes(notes, [*primary, *sweep]).join(F.broadcast(parts), "note_id")
     kept = F.when(F.col("cut_to").isNotNull(), F.expr("substring(content, 1, cut_to)")).otherwise(F.col("content"))
-    columns = ["note_id", "note_ts", kept.alias("content"), "cut_to"]
-    return packed.select(*columns, F.lit("primary").alias("part")).unionByName(swept.select(*columns, F.lit("sweep").alias("part")))
+    return picked.select("note_id", "note_ts", kept.alias("content"), "cut_to", "part")
 
 
 def recent_notes(notes: DataFrame, budget: int, style: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import batch_number, document_id, js_trim, millis, preview, utf16_length, word_count
+from ..functions.text import document_id, js_trim, millis, preview, utf16_length, word_count
 from ..operators import message_log as log
 from ..operators import note_index as index
 from ..sources import views
@@ -172,9 +172,7 @@ def log_text_stats(spark, sf):
 
 @query("log_batches", with_views("SELECT type, batch, count(*) n FROM (SELECT type, (row_number() OVER (PARTITION BY type, source ORDER BY ts, id) - 1) // 12 AS batch FROM messages) GROUP BY ALL", "messages"))
 def log_batches(spark, sf):
-    w = Window.partitionBy("type", "source").orderBy("ts", "id")
-    numbered = views.messages(spark, sf).withColumn("batch", batch_number(F.row_number().over(w) - 1, 12))
-    return numbered.groupBy("type", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return log.batch_counts(views.messages(spark, sf), ["type", "source"], ["ts", "id"], 12)
 
 
 # --- notes and index

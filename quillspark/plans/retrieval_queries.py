@@ -102,7 +102,7 @@ def greedy_sql(budget: int, style: str, source: str) -> str:
   row_number() OVER (ORDER BY note_ts DESC, note_id) AS k FROM notes), {greedy_sql(28000, "date", "lined")}
 SELECT f.note_id, row_number() OVER (ORDER BY k) AS pick FROM fold f WHERE picked""",
         "notes",
-    ).replace("WITH notes", "WITH RECURSIVE notes", 1).replace(",\nRECURSIVE lined", ",\nlined", 1),
+    ),
 )
 def pack_recent_notes(spark, sf):
     """The newest notes that fit 28,000 characters."""
@@ -118,10 +118,10 @@ def picked_sql(name: str) -> str:
     p = PROFILES[name]
     line = f"'[' || strftime(note_ts, '{SQL_STAMP[p.timestamp_style]}') || '] ' || content"
     order = "ORDER BY score DESC, note_ts DESC, note_id"
-    chosen = _coverage_sql(name).split("ranked AS", 1)[1].split("),\nc AS" if False else ", c AS", 1)[1] if p.force_recent else ""
-    candidates = f"c AS{chosen}".replace("SELECT note_id, rank FROM c", ", chosen AS (SELECT * FROM c") + ")" if p.force_recent else f"chosen AS (SELECT * FROM ranked WHERE rank <= {min(p.selection_limit, p.candidate_limit)})"
+    few = f"chosen AS (SELECT * FROM ranked WHERE rank <= {min(p.selection_limit, p.candidate_limit)})"
+    candidates = f"{_candidates_sql(name)},\nchosen AS (SELECT * FROM c WHERE {COVERED})" if p.force_recent else few
     world = WORLD.format(state_budget(p.max_prompt_chars)).removeprefix("WITH ")
-    return f"""RECURSIVE {scored_sql(name)},
+    return f"""{scored_sql(name)},
 {candidates},
 {world},
 room AS (SELECT CASE WHEN used = 0 THEN {p.max_prompt_chars} ELSE greatest(0, {p.max_prompt_chars} - used - {COMBINE_OVERHEAD}) END AS b
@@ -148,8 +148,7 @@ picked AS (SELECT note_id, note_ts, line, cut_to, 'primary' AS part FROM taken
 
 
 def _picked_query(name: str, body: str) -> str:
-    sql = with_views(f"WITH {picked_sql(name)}\n{body}", "notes", "note_embeddings", "current_state")
-    return sql.replace("RECURSIVE ", "", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_views(f"WITH RECURSIVE {picked_sql(name)}\n{body}", "notes", "note_embeddings", "current_state")
 
 
 def _picked(spark, sf, name):
@@ -184,12 +183,11 @@ def prompt_chat(spark, sf):
     return context.prompt_lines(_picked(spark, sf, "chat"), "chat")
 
 
-@query("score_pairs", with_views("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] q FROM embeddings WHERE vec_id < 3) SELECT query_id, v.note_id, round(greatest(0, list_dot_product(q, v.embedding::DOUBLE[])), 6) AS score FROM q, note_embeddings v", "note_embeddings"))
+@query("score_pairs", with_views("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] q FROM embeddings WHERE vec_id % 20 = 0) SELECT query_id, v.note_id, round(greatest(0, list_dot_product(q, v.embedding::DOUBLE[])), 6) AS score FROM q, note_embeddings v", "note_embeddings"))
 def score_pairs(spark, sf):
-    """Every note against every query, the queries as constants."""
-    vectors = _vectors(spark, sf)
-    each = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.greatest(F.lit(0.0), scoring.dot(scoring.vector(v), F.col("embedding"))).alias("s")) for i, v in enumerate(vectors)])
-    return views.note_embeddings(spark, sf).select("note_id", F.explode(each).alias("e")).select("e.query_id", "note_id", F.round("e.s", 6).alias("score"))
+    """Every note against every query, which are the vectors of ids divisible by 20, in blocks of queries."""
+    queries = views.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return scoring.pair_scores(views.note_embeddings(spark, sf).select("note_id", "embedding"), queries).select("query_id", "note_id", F.round("score", 6).alias("score"))
 
 
 @query("score_norms", with_views("SELECT note_id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM (SELECT note_id, embedding::DOUBLE[] AS e FROM note_embeddings)", "note_embeddings"))
