@@ -94,3 +94,9 @@ MAX_STATE_CHARS = 12000
 STATE_FRACTION = 0.45
 COMBINE_OVERHEAD = 320
 MAX_SUPERSESSIONS = 25
+
+# Requests for vectors.
+EMBEDDING_BATCH = 12
+EMBEDDING_CHARS = 28000
+EMBEDDING_DIMENSIONS = 768
+EMBEDDING_MODEL = "embedding-default"

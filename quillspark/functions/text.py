@@ -14,6 +14,11 @@ def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
+def js_rtrim(text: Column) -> Column:
+    """Strip all Unicode white space at the end."""
+    return F.regexp_replace(text, rf"(?U){_SPACE}+$", "")
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one space."""
     return F.regexp_replace(text, rf"(?U){_SPACE}+", " ")
@@ -31,15 +36,16 @@ def _astral(text: Column) -> Column:
     return text.rlike(r"[\x{10000}-\x{10FFFF}]")
 
 
-def utf16_prefix(text: Column, units: int) -> Column:
+def utf16_prefix(text: Column, units: int | Column) -> Column:
     """The longest prefix of at most ``units`` UTF-16 units that doesn't cut a character in two."""
+    units = units.cast("int") if isinstance(units, Column) else F.lit(units)
     # a text is cut at the code point at which its units are used up; only texts with astral characters are looked at closely
-    near = F.substring(text, 1, units)
+    near = F.substring(text, F.lit(1), units)
     upto = F.transform(F.split(near, ""), lambda c: F.when(_astral(c), 2).otherwise(1))
     whole = F.aggregate(
         upto,
         F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")),
-        lambda a, u: F.when(a["used"] + u <= units, F.struct((a["used"] + u).alias("used"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(units + 1).alias("used"), a["n"].alias("n"))),
+        lambda a, u: F.when(a["used"] + u <= units, F.struct((a["used"] + u).alias("used"), (a["n"] + 1).alias("n"))).otherwise(F.struct((units + 1).alias("used"), a["n"].alias("n"))),
         lambda a: a["n"],
     )
     return F.when(_astral(near), F.substring(near, F.lit(1), whole)).otherwise(near)

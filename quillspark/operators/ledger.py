@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DISPLAY_RANK, EXTRACTOR_VERSION, MAX_ATTEMPTS, MAX_FACTS_PER_NOTE, SAMPLE_LIMIT, STATE_POLARITIES, WINNER_RANK
-from ..functions.text import document_id
+from ..functions.coercion import finite_or_null, polarity
+from ..functions.text import document_id, join_nonempty, or_null
 from ..storage import cut
 
 STATE = ("entity", "attribute", "claim", "value_text", "value_num", "polarity", "as_of", "confidence", "source_note_id", "fact_id")
 
 
+#: Keys that a point read puts into its filter.
+POINT_KEYS = 1000
 #: Parts in which a note's facts are cut to the number that it keeps.
 SALTS = 64
 
@@ -159,6 +162,29 @@ def touched_keys(facts: DataFrame, new: DataFrame, note_ids: DataFrame) -> DataF
     return gone.select("state_key").union(new.select("state_key")).distinct()
 
 
+def point_get(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """For each distinct value of ``key`` in ``wanted`` the row of ``table``, with ``found``; the others are null.
+
+    A few values reach the reader as a filter, so row groups without them are
+    not read; many are joined.
+    """
+    keys = wanted.select(key).distinct()
+    few = keys.limit(POINT_KEYS + 1).collect()
+    rows = table.filter(F.col(key).isin([r[0] for r in few])) if len(few) <= POINT_KEYS else table
+    held = rows.withColumn("found", F.lit(True)).withColumnRenamed(key, "_key")
+    return keys.join(held, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def mapped_facts(rows: DataFrame) -> DataFrame:
+    """Stored facts as they are read: a missing claim is put together from entity, attribute, value and unit; blanks become defaults."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    made = join_nonempty([text("entity"), text("attribute"), text("value_text"), text("unit")], " · ")
+    return rows.withColumns({
+        "claim": F.coalesce(or_null(text("claim")), made), "value_num": finite_or_null(F.col("value_num")), "polarity": polarity(F.col("polarity")),
+        "confidence": F.coalesce("confidence", F.lit(0.5)), "as_of": F.coalesce(F.col("as_of").cast("timestamp"), F.timestamp_seconds(F.lit(0))),
+    })
+
+
 def facts_by_key(facts: DataFrame) -> DataFrame:
     return facts.groupBy("state_key").agg(F.count(F.lit(1)).alias("n"), F.min("as_of").alias("first_as_of"), F.max("as_of").alias("last_as_of"))
 

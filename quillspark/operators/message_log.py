@@ -81,6 +81,24 @@ def persistable(log: DataFrame) -> DataFrame:
     return log.filter(~F.coalesce(blank, F.lit(False))).select("id", "content", "type", "ts")
 
 
+def loadable(log: DataFrame) -> DataFrame:
+    """What is loaded: no answers without content, thoughts and code blocks."""
+    some = (js_trim(F.coalesce("content", F.lit(""))) != "") | (F.coalesce(F.size("thoughts"), F.lit(0)) > 0) | (F.coalesce(F.size("code_blocks"), F.lit(0)) > 0)
+    return log.filter(~F.col("type").eqNullSafe(F.lit("ai-response")) | some)
+
+
+def json_bytes(log: DataFrame) -> DataFrame:
+    """type, n, bytes: the size of the messages as JSON, as it is saved."""
+    saved = F.to_json(F.struct("id", "content", "type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")), {"ignoreNullFields": "false"})
+    return log.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(saved)).alias("bytes"))
+
+
+def snapshots(log: DataFrame) -> DataFrame:
+    """id, snapshot: the JSON of each message that is saved, by which a client knows what it must send."""
+    saved = F.struct("id", "content", "type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"))
+    return persistable(log).select("id", F.to_json(saved, {"ignoreNullFields": "false"}).alias("snapshot"))
+
+
 def note_list(log: DataFrame) -> DataFrame:
     return log.filter((F.col("type") == "note") & (js_trim(F.col("content")) != "")).select("content", F.col("ts").alias("date"))
 

@@ -213,6 +213,13 @@ def message_content(value: Column) -> Column:
     return F.coalesce(F.when(is_text, F.try_variant_get(value, "$", "string")), F.array_join(F.transform(parts, text), ""), F.lit(""))
 
 
+def candidate_text(payload: Column) -> Column:
+    """The joined texts of the first candidate's parts, trimmed; empty where there are none."""
+    value = F.try_parse_json(payload)
+    parts = F.try_variant_get(value, "$.candidates[0].content.parts", "array<variant>")
+    return js_trim(F.coalesce(F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), ""), F.lit("")))
+
+
 def transcript_text(text: Column, raw_text: Column, segments: Column) -> Column:
     """The first that isn't blank: text, raw text, the joined segments."""
     some = lambda c: F.when(js_trim(c) != "", js_trim(c))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso, js_trim, utf16_length
+from ..storage import cut
 
 
 def project_notes(messages: DataFrame) -> DataFrame:
@@ -95,3 +96,60 @@ def validated_ids(proposed: DataFrame, candidates: DataFrame, limit: int) -> Dat
     """pos, note_id of a reranked list that are candidates: the first of each, at most ``limit``."""
     first = proposed.join(candidates.select("note_id"), "note_id", "left_semi").groupBy("note_id").agg(F.min("pos").alias("pos"))
     return first.orderBy("pos").limit(limit)
+
+
+# --- a tree of digests over ranges of ids: which notes differ is found in the ranges that do
+
+#: Children of a node, and levels: FANOUT ** LEVELS leaves.
+FANOUT = 16
+LEVELS = 2
+
+
+def with_leaf(notes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """``notes`` with ``leaf``, the range of hashed ids that each falls in."""
+    return notes.withColumn("leaf", F.conv(F.substring(F.md5("note_id"), 1, levels), 16, 10).cast("int"))
+
+
+def tree(notes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """level, node, n, digest of the ranges that have notes; level 0 is the root.
+
+    A leaf's digest is the SHA-1 of its sorted ``id:hash`` joined by ``|``, a
+    node's that of its children's ``node:digest``.  So the root says, whatever the
+    order of the notes, whether two indexes are equal; with more levels no leaf
+    grows beyond what one task can sort.
+    """
+    entry = F.concat("note_id", F.lit(":"), "content_hash")
+    leaves = with_leaf(notes.select("note_id", "content_hash"), levels).groupBy(F.col("leaf").alias("node"))
+    now = leaves.agg(F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list(entry)), "|")).alias("digest"))
+    now = cut(now.select(F.lit(levels).alias("level"), "node", "n", "digest"), "leaves")
+    out = now
+    for level in range(levels - 1, -1, -1):
+        child = F.struct("node", F.concat(F.col("node").cast("string"), F.lit(":"), "digest").alias("d"))
+        parents = now.groupBy(F.expr(f"node div {FANOUT}").cast("int").alias("_p"))
+        now = parents.agg(F.sum("n").alias("n"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: c["d"]), "|")).alias("digest"))
+        now = now.select(F.lit(level).alias("level"), F.col("_p").alias("node"), "n", "digest")
+        out = out.unionByName(now)
+    return out
+
+
+def write_index(notes: DataFrame, path: str, levels: int = LEVELS) -> None:
+    """An index (note_id, content_hash) and its tree, stored so that one range can be read without the others."""
+    with_leaf(notes.select("note_id", "content_hash"), levels).repartition("leaf").write.partitionBy("leaf").parquet(f"{path}/entries")
+    tree(notes, levels).write.parquet(f"{path}/tree")
+
+
+def differing_leaves(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The leaves whose digests differ, from two trees."""
+    deepest = old.unionByName(new).agg(F.max("level")).first()[0]
+    a, b = (t.filter(F.col("level") == deepest).select(F.col("node").alias(f"{n}_node"), F.col("digest").alias(f"{n}_digest")) for n, t in (("a", old), ("b", new)))
+    joined = a.join(b, F.col("a_node") == F.col("b_node"), "full_outer").filter(~F.col("a_digest").eqNullSafe(F.col("b_digest")))
+    return joined.select(F.coalesce("a_node", "b_node").alias("leaf"))
+
+
+def changed_entries(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """note_id, action (add, update, delete) between two stored indexes; equal roots are not looked into, equal ranges not read."""
+    trees = [spark.read.schema("level int, node int, n long, digest string").parquet(f"{p}/tree") for p in (old, new)]
+    roots = [r["digest"] if (r := t.filter("level = 0").first()) else None for t in trees]
+    leaves = [] if roots[0] == roots[1] else [r["leaf"] for r in differing_leaves(*trees).collect()]  # at most FANOUT ** LEVELS numbers
+    entries = [spark.read.schema("note_id string, content_hash string, leaf int").parquet(f"{p}/entries").filter(F.col("leaf").isin(leaves)) for p in (old, new)]
+    return diff(entries[1], entries[0]).filter("action <> 'keep'")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COMBINE_OVERHEAD, MAX_STATE_CHARS, STATE_FRACTION
-from ..functions.text import js_trim, or_null, stamp, utf16_length
+from ..functions.text import js_rtrim, js_trim, or_null, stamp, utf16_length, utf16_prefix
 from .ledger import display_order, supersessions
 
 
@@ -88,6 +88,19 @@ def budget_split(state: DataFrame, total: int) -> DataFrame:
     return used.select(F.lit(total).alias("total"), "state_chars", left.alias("notes_chars"))
 
 
+def clipped_notes(text: Column, budget: Column) -> Column:
+    """Note text that was selected without a budget, cut to one with an ellipsis; blank ends are dropped."""
+    whole = js_trim(F.coalesce(text, F.lit("")))
+    return F.when(utf16_length(whole) > budget, F.concat(js_rtrim(utf16_prefix(whole, F.greatest(F.lit(0), budget - 1))), F.lit("…"))).otherwise(whole)
+
+
+def combined(state: Column, notes: Column, heading: str = NOTES_HEADING, nothing: str = "") -> Column:
+    """The state block before the notes block; either alone where the other is blank."""
+    has_state, has_notes = js_trim(F.coalesce(state, F.lit(""))) != "", js_trim(F.coalesce(notes, F.lit(""))) != ""
+    block = F.when(has_notes, F.concat(F.lit(heading + "\n"), notes)).otherwise(F.lit(nothing))
+    return F.when(~has_state, F.coalesce(notes, F.lit(""))).otherwise(F.concat(state, F.lit("\n\n"), block))
+
+
 def note_lines(notes: DataFrame, style: str = "short") -> DataFrame:
     """note_id, note_ts, line of every note: the notes export, to be written in time order."""
     return notes.select("note_id", "note_ts", F.concat(F.lit("["), stamp(F.col("note_ts"), style), F.lit("] "), F.col("content")).alias("line"))
