@@ -142,6 +142,37 @@ def patch(store: TableStore, messages: DataFrame, clock: str, mode: str = "appen
     return out[0]
 
 
+@dataclass(frozen=True)
+class Imported:
+    parsed: int
+    added: int
+    total: int
+
+
+def import_notes(store: TableStore, notes: DataFrame, clock: str, source: str = "import") -> Imported:
+    """Add notes that were read back (id, content, type, ts, note_no) to the log.
+
+    Of messages of one type and equal first 200 units one stays, a stored one
+    before an imported one, then the first.  The note index follows in the same
+    commit, which says what was imported and when.
+    """
+    out: list[Imported] = []
+    incoming = cut(_typed(notes.withColumn("source", F.lit(source)).withColumn("ord", F.col("note_no"))), "imported")
+    parsed = incoming.count()
+
+    def change(commit: Commit) -> None:
+        existing = commit.read("messages") if commit.exists("messages") else store.spark.createDataFrame([], MESSAGES)
+        side = lambda df, n: df.drop("message_key").withColumn("_new", F.lit(n))
+        merged = cut(message_log.prefix_dedupe(side(existing, 0), side(incoming, 1)).drop("dedupe_key"), "import-merged")
+        total = commit.replace("messages", _typed(merged))
+        _stamp(commit, total, clock, imported_from=source, imported_at=clock)
+        _index_if_changed(commit, merged)
+        out[:] = [Imported(parsed, merged.filter("_new = 1").count(), total)]
+
+    store.update(change)
+    return out[0]
+
+
 def load(store: TableStore) -> DataFrame:
     """The log; one that was never written is empty."""
     now = store.snapshot()

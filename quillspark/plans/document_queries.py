@@ -172,10 +172,11 @@ def json_loose_object(spark, sf):
     return out.select("conv_id", "seq", F.get_json_object(model_json.loose_object(F.col("output")), "$.objective").alias("objective"))
 
 
-@query("json_loose_object_all", "SELECT conv_id, turn AS seq, CASE WHEN turn % 4 IN (0, 1) THEN role END AS objective FROM conversations")
+@query("json_loose_object_all", "SELECT conv_id, turn AS seq, CASE WHEN turn % 4 IN (0, 1) THEN sha1(text) END AS summary_sha1, turn % 4 IN (0, 1) AS found FROM conversations")
 def json_loose_object_all(spark, sf):
-    """Cut-off outputs too: null, as their closing brace is missing."""
-    return _model_output(spark, sf).select("conv_id", "seq", F.get_json_object(model_json.loose_object(F.col("output")), "$.objective").alias("objective"))
+    """Whether an object was found, and its longest text; cut-off outputs have none, as their closing brace is missing."""
+    loose = model_json.loose_object(F.col("output"))
+    return _model_output(spark, sf).select("conv_id", "seq", F.sha1(F.get_json_object(loose, "$.summary")).alias("summary_sha1"), loose.isNotNull().alias("found"))
 
 
 @query("message_contents", "SELECT conv_id, turn AS seq, sha1(role || text) AS sha FROM conversations")
@@ -185,12 +186,13 @@ def message_contents(spark, sf):
     return _turns(spark, sf).select("conv_id", "seq", F.sha1(model_json.message_content(F.parse_json(parts))).alias("sha"))
 
 
-@query("transcripts", "SELECT conv_id, turn AS seq, CASE turn % 3 WHEN 0 THEN sha1(trim(text)) WHEN 1 THEN sha1(role) ELSE sha1(role || ' ' || role) END AS sha FROM conversations WHERE trim(text) <> ''")
+@query("transcripts", "SELECT conv_id, turn AS seq, CASE WHEN turn % 5 = 4 THEN sha1('') WHEN turn % 3 = 0 AND trim(text) <> '' THEN sha1(trim(text)) WHEN turn % 3 = 1 THEN sha1(role) ELSE sha1(role || ' ' || role) END AS sha FROM conversations")
 def transcripts(spark, sf):
-    t = _turns(spark, sf).filter(F.trim("content") != "")
-    text = F.when(F.col("seq") % 3 == 0, F.trim("content")).otherwise(F.lit(" "))
-    raw = F.when(F.col("seq") % 3 == 1, F.col("role"))
-    segment = F.struct(F.col("role").alias("text"))
+    """Transcripts whose text, raw text or segments tell what was said; of every fifth turn none does."""
+    t, silent = _turns(spark, sf), F.col("seq") % 5 == 4
+    text = F.when((F.col("seq") % 3 == 0) & ~silent, F.trim("content")).otherwise(F.lit(" "))
+    raw = F.when((F.col("seq") % 3 == 1) & ~silent, F.col("role"))
+    segment = F.struct(F.when(silent, F.lit(" ")).otherwise(F.col("role")).alias("text"))
     return t.select("conv_id", "seq", F.sha1(model_json.transcript_text(text, raw, F.array(segment, segment))).alias("sha"))
 
 

@@ -178,9 +178,14 @@ def diagnostics_chat(spark, sf):
     return context.diagnostics(_picked(spark, sf, "chat"), views.notes(spark, sf), "chat")
 
 
-@query("retrieve_prompt_chat", _picked_query("chat", "SELECT note_id, note_ts, CASE WHEN cut_to IS NULL THEN line ELSE line || '…' END AS line FROM picked"))
-def prompt_chat(spark, sf):
-    return context.prompt_lines(_picked(spark, sf, "chat"), "chat")
+def _register_prompt(name: str) -> None:
+    @query(f"retrieve_prompt_{name}", _picked_query(name, "SELECT note_id, note_ts, CASE WHEN cut_to IS NULL THEN line ELSE line || '…' END AS line FROM picked"))
+    def prompt(spark, sf):
+        return context.prompt_lines(_picked(spark, sf, name), name)
+
+
+for _name in PROFILES:
+    _register_prompt(_name)
 
 
 @query("score_pairs", with_views("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] q FROM embeddings WHERE vec_id % 20 = 0) SELECT query_id, v.note_id, round(greatest(0, list_dot_product(q, v.embedding::DOUBLE[])), 6) AS score FROM q, note_embeddings v", "note_embeddings"))

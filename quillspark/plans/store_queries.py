@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import log_store
+from ..operators import log_store, render
+from ..sources import exports, views
 from ..sources import feed_source as feed_reader
-from ..sources import views
 from ..sources.store import TableStore
 from ..sources.views import with_views
 from ..storage import cut, new_path
@@ -53,6 +53,25 @@ def log_handlers(spark, sf):
     )
 
 
+IMPORT = r"""WITH body AS (SELECT array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)),
+  lambda x: x <> '' AND NOT starts_with(x, '===') AND NOT starts_with(x, 'Total messages') AND NOT starts_with(x, 'Notes found') AND NOT starts_with(x, 'Exported')), chr(10)) AS b FROM notes),
+keys AS (SELECT type, regexp_replace(content, '^\s+|\s+$', '', 'g')[1:200] AS k, 0 AS side FROM messages UNION ALL SELECT 'note', b[1:200], 1 FROM body),
+kept AS (SELECT type, k, min(side) AS side FROM keys GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM notes) AS parsed, count(*) FILTER (WHERE side = 1) AS added, count(*) AS total, count(*) FILTER (WHERE type = 'note' AND k <> '') AS indexed, '2024-01-31 00:01:00' AS imported_at FROM kept"""
+
+
+@query("import_into_log", with_views(IMPORT, "messages"))
+def import_into_log(spark, sf):
+    """All notes exported, read back by splits and imported into a stored log that has them already, but for blank lines."""
+    store, folder = TableStore(spark, new_path(spark, "log"), log_store.TABLES), new_path(spark, "export")
+    log_store.post(store, views.messages(spark, sf), CLOCKS[0])
+    render.write_lines(render.note_lines(views.notes(spark, sf)), folder, "note_ts", "note_id")
+    done = log_store.import_notes(store, exports.parse_export(exports.read_lines(spark, folder, folder_is_one=True)), CLOCKS[1])
+    now = store.snapshot()
+    said = [F.lit(v).cast("long").alias(c) for c, v in (("parsed", done.parsed), ("added", done.added), ("total", done.total))]
+    return store.read("note_index", now).agg(F.count(F.lit(1)).alias("indexed")).select(*said, "indexed", F.lit(now.stamps["imported_at"]).alias("imported_at"))
+
+
 STAMPS = """SELECT 0 AS version, count(*) AS total_messages, '2024-01-30 12:00:00' AS last_updated, '2024-01-31 00:00:00' AS updated_at, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes FROM messages
 UNION ALL SELECT 1, 0, '2024-01-31 00:01:00', '2024-01-31 00:01:00', NULL"""
 
