@@ -166,15 +166,6 @@ def fold_key(state: dict | None, steps: list[Row], facts: list[Row]) -> tuple[di
     return state, changed
 
 
-def _two_best(facts: DataFrame) -> DataFrame:
-    """For each key of ``facts`` the best, and the best that differs from it in value or time, as rows of ``facts``."""
-    rank = F.struct("as_of", ledger.winner_rank().alias("rank"), "confidence", ledger._inverted("fact_id").alias("id"), _fact_struct().alias("f"))
-    best = cut(facts.groupBy("state_key").agg(F.max(rank)["f"].alias("best")), "best-facts")
-    other = facts.join(best, "state_key").filter((F.col("value_text") != F.col("best.value_text")) | (F.unix_micros(F.col("as_of").cast("timestamp")) != F.col("best.as_of")))
-    second = other.groupBy("state_key").agg(F.max(rank)["f"].alias("best"))
-    return best.unionByName(second).withColumnRenamed("best", "fact")
-
-
 def refresh_state(state: DataFrame, facts: DataFrame, steps: DataFrame, new: DataFrame, clock: Column) -> tuple[DataFrame, DataFrame]:
     """State rows that change (see ``STATE``), and all keys that change (a key without a row goes).
 
@@ -198,7 +189,7 @@ def refresh_state(state: DataFrame, facts: DataFrame, steps: DataFrame, new: Dat
     here = cut(keys.select("state_key").join(owned.select("state_key"), "state_key", "left_semi"), "owned-keys")
     outside = facts.filter(eligible).join(F.broadcast(steps.select(F.col("note_id").alias("source_note_id"))), "source_note_id", "left_anti").join(here, "state_key", "left_semi")
     row = lambda since, until, position: F.struct("fact", position.cast("long").alias("position"), since.alias("since"), until.alias("until")).alias("f")
-    told = _two_best(outside).select("state_key", row(last, never, F.lit(0)))
+    told = ledger.two_best(outside, _fact_struct()).withColumnRenamed("best", "fact").select("state_key", row(last, never, F.lit(0)))
     told = told.unionByName(old.filter("eligible").select("state_key", row(last, first, F.lit(0))))
     told = told.unionByName(new.filter("eligible").select("state_key", row(first, never, F.col("position"))))
     told = told.groupBy("state_key").agg(F.collect_list("f").alias("facts"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import DISPLAY_RANK, EXTRACTOR_VERSION, MAX_ATTEMPTS, MAX_FACTS_PER_NOTE, SAMPLE_LIMIT, STATE_POLARITIES, WINNER_RANK
 from ..functions.coercion import finite_or_null, polarity
 from ..functions.text import document_id, join_nonempty, or_null
-from ..storage import cut
 
 STATE = ("entity", "attribute", "claim", "value_text", "value_num", "polarity", "as_of", "confidence", "source_note_id", "fact_id")
 
@@ -114,19 +113,26 @@ def _inverted(hexadecimal: str) -> Column:
     return F.translate(F.lower(hexadecimal), "0123456789abcdef", "fedcba9876543210")
 
 
-def current_state(facts: DataFrame) -> DataFrame:
-    """State rows with what they supersede: the best fact that differs in value or time.
+def two_best(facts: DataFrame, value: Column) -> DataFrame:
+    """state_key, place (1, 2), best: ``value`` of the best fact of a key, and of the best that differs from it in value or time.
 
-    The winners are written first, so the join that follows is of plain exchanges,
-    which adaptive execution can split at a key with very many events.
+    Facts of one value and time are reduced to their best before the shuffle, and
+    of what is left each task passes on two rows a key (a limit that Spark puts
+    before the window's exchange), so a key with very many events is no burden.
     """
-    now = cut(winners(facts), "winners")
-    current = now.select(F.col("state_key").alias("_key"), F.col("value_text").alias("_value"), F.col("as_of").alias("_as_of"))
-    others = eligible(facts).join(current, F.col("state_key") == F.col("_key")).filter((F.col("value_text") != F.col("_value")) | (F.col("as_of") != F.col("_as_of")))
-    best = F.max(F.struct("as_of", winner_rank().alias("_rank"), "confidence", _inverted("fact_id").alias("_id"), F.struct("value_text", "claim", "as_of", "source_note_id").alias("f")))
-    previous = cut(others.groupBy(F.col("state_key").alias("_key")).agg(best["f"].alias("p")), "previous")
-    return now.join(previous, F.col("state_key") == F.col("_key"), "left").select(
-        "state_key", *[F.col(c).alias("source_fact_id" if c == "fact_id" else c) for c in STATE],
+    rank = F.struct("as_of", winner_rank().alias("rank"), "confidence", _inverted("fact_id").alias("id"), value.alias("f"))
+    apart = facts.groupBy("state_key", "value_text", F.col("as_of").alias("_time")).agg(F.max(rank).alias("r"))
+    order = Window.partitionBy("state_key").orderBy(F.col("r").desc())
+    return apart.withColumn("place", F.row_number().over(order)).filter("place <= 2").select("state_key", "place", F.col("r.f").alias("best"))
+
+
+def current_state(facts: DataFrame) -> DataFrame:
+    """State rows with what they supersede: the best fact that differs in value or time."""
+    top = two_best(eligible(facts), F.struct(*STATE))
+    place = lambda n: F.max(F.when(F.col("place") == n, F.col("best")))
+    both = top.groupBy("state_key").agg(place(1).alias("f"), place(2).alias("p"))
+    return both.select(
+        "state_key", *[F.col(f"f.{c}").alias("source_fact_id" if c == "fact_id" else c) for c in STATE],
         F.col("p.value_text").alias("previous_value_text"), F.col("p.claim").alias("previous_claim"),
         F.col("p.as_of").alias("previous_as_of"), F.col("p.source_note_id").alias("previous_source_note_id"),
     )

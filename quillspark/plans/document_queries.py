@@ -172,11 +172,11 @@ def json_loose_object(spark, sf):
     return out.select("conv_id", "seq", F.get_json_object(model_json.loose_object(F.col("output")), "$.objective").alias("objective"))
 
 
-@query("json_loose_object_all", "SELECT conv_id, turn AS seq, CASE WHEN turn % 4 IN (0, 1) THEN sha1(text) END AS summary_sha1, turn % 4 IN (0, 1) AS found FROM conversations")
+@query("json_loose_object_all", "SELECT conv_id, turn AS seq, CASE WHEN turn % 4 IN (0, 1) THEN role END AS objective, CASE WHEN turn % 4 IN (0, 1) THEN sha1(text) END AS summary_sha1, turn % 4 IN (0, 1) AS found FROM conversations")
 def json_loose_object_all(spark, sf):
-    """Whether an object was found, and its longest text; cut-off outputs have none, as their closing brace is missing."""
+    """Whether an object was found, and its texts; cut-off outputs have none, as their closing brace is missing."""
     loose = model_json.loose_object(F.col("output"))
-    return _model_output(spark, sf).select("conv_id", "seq", F.sha1(F.get_json_object(loose, "$.summary")).alias("summary_sha1"), loose.isNotNull().alias("found"))
+    return _model_output(spark, sf).select("conv_id", "seq", F.get_json_object(loose, "$.objective").alias("objective"), F.sha1(F.get_json_object(loose, "$.summary")).alias("summary_sha1"), loose.isNotNull().alias("found"))
 
 
 @query("message_contents", "SELECT conv_id, turn AS seq, sha1(role || text) AS sha FROM conversations")
