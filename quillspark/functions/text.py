@@ -24,31 +24,26 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U){_SPACE}+", " ")
 
 
-def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 units, as all limits are meant: characters beyond the basic plane count twice."""
-    beyond = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    # a text of fewer than three spare bytes has none of these
-    return F.length(text) + F.when(F.octet_length(text) >= F.length(text) + 3, beyond).otherwise(F.when(text.isNotNull(), 0))
+def _units(text: Column) -> Column:
+    return F.encode(text, "UTF-16LE")
 
 
-def _astral(text: Column) -> Column:
-    """Whether a text has characters beyond the basic plane, which are two UTF-16 units each."""
-    return text.rlike(r"[\x{10000}-\x{10FFFF}]")
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units, as all limits are meant: characters beyond the basic plane count twice."""
+    return F.shiftright(F.octet_length(_units(text)), 1)
 
 
 def utf16_prefix(text: Column, units: int | Column) -> Column:
     """The longest prefix of at most ``units`` UTF-16 units that doesn't cut a character in two."""
-    units = units.cast("int") if isinstance(units, Column) else F.lit(units)
-    # a text is cut at the code point at which its units are used up; only texts with astral characters are looked at closely
-    near = F.substring(text, F.lit(1), units)
-    upto = F.transform(F.split(near, ""), lambda c: F.when(_astral(c), 2).otherwise(1))
-    whole = F.aggregate(
-        upto,
-        F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")),
-        lambda a, u: F.when(a["used"] + u <= units, F.struct((a["used"] + u).alias("used"), (a["n"] + 1).alias("n"))).otherwise(F.struct((units + 1).alias("used"), a["n"].alias("n"))),
-        lambda a: a["n"],
-    )
-    return F.when(_astral(near), F.substring(near, F.lit(1), whole)).otherwise(near)
+    n = 2 * (units if isinstance(units, Column) else F.lit(units)).cast("int")
+
+    def cut(encoded: Column) -> Column:
+        # the high byte of the last unit tells whether it is the first half of a character
+        half = F.hex(F.substring(encoded, n, F.lit(1))).between("D8", "DB")
+        return F.decode(F.substring(encoded, F.lit(1), F.when(half, n - 2).otherwise(n)), "UTF-16LE")
+
+    # bound by a lambda, so that a text that is a large expression stands here once
+    return F.transform(F.array(_units(text)), cut)[0]
 
 
 def js_round(x: Column) -> Column:
