@@ -76,7 +76,7 @@ def extract_facts(notes: DataFrame, model: Model, unicode: bool = True) -> tuple
     """
     text = js_trim(F.col("content"))
     judged = notes.select("note_id", text.alias("content"), "content_hash", F.col("note_ts").cast("timestamp").alias("note_ts"))
-    judged = judged.withColumn("reason", drafts.skip_reason(F.col("content"))).withColumn("derived", drafts.is_derived_analysis(F.col("content")))
+    judged = cut(judged.withColumn("reason", drafts.skip_reason(F.col("content"))).withColumn("derived", drafts.is_derived_analysis(F.col("content"))), "judged-notes")
     chunks = drafts.chunk_notes(judged.filter("reason is null"))
     count = F.count(F.lit(1)).over(Window.partitionBy("note_id"))
     asked = chunks.withColumn("chunks", count).join(judged.select("note_id", "note_ts", "derived"), "note_id")
@@ -342,7 +342,8 @@ def _sync(commit: Commit, notes: DataFrame, model: Model, limit: int, only: Data
     allowed = seen.get["n"]
     total = allowed if only is None else notes.count()
 
-    work = notes.join(F.broadcast(queue.select("note_id")), "note_id", "left_semi")
+    # the contents of at most ``limit`` notes, read once
+    work = cut(notes.select("note_id", "content", "content_hash", "note_ts").join(F.broadcast(queue.select("note_id")), "note_id", "left_semi"), "work")
     events, outcomes = extract_facts(work, model, unicode)
     told = cut(queue.join(outcomes, "note_id"), "outcomes")
     counts = told.agg(F.count(F.when(F.col("status") == "failed", 1)).alias("failed"), F.count(F.when(F.col("status") == "skipped", 1)).alias("skipped"), F.max(F.struct("seq", "note_ts", "note_id")).alias("last")).first()
