@@ -90,8 +90,8 @@ def post(store: TableStore, messages: DataFrame, clock: str, force: bool = False
         old = commit.stamps.get("total_messages", 0)
         if not force and old > 0 and n < 0.5 * old:
             raise Refused(f"Save blocked: would reduce messages from {old} to {n}. Use force to override.", old)
-        merged = incoming if force or not commit.exists("messages") else _merged(commit.read("messages"), incoming)
-        merged = cut(merged, "merged")
+        # what is posted is written already; only a merge is new
+        merged = incoming if force or not commit.exists("messages") else cut(_merged(commit.read("messages"), incoming), "merged")
         total = commit.replace("messages", merged)
         _stamp(commit, total, clock)
         out[:] = [Saved(True, total, _index_if_changed(commit, merged))]
