@@ -43,8 +43,8 @@ def numbered_notes(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = counted.groupBy("file", "block").agg(F.max("_heads").alias("_h"), F.count(F.lit(1)).alias("_l"))
     splits = splits.select("file", "block", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h"), F.coalesce(F.sum("_l").over(before), F.lit(0)).alias("_l"))
-    # one narrow row for each split of the files
-    placed = counted.join(F.broadcast(cut(splits, "import-splits")), ["file", "block"])
+    # one narrow row for each split of the files; where those are many, as with a file for each note, it is merged
+    placed = counted.join(cut(splits, "import-splits"), ["file", "block"])
     return placed.withColumn("note_no", F.col("_heads") + F.col("_h")).withColumn("line_no", F.col("_line") + F.col("_l")).drop("_heads", "_line", "_h", "_l", "block", "at")
 
 
