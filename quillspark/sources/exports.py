@@ -36,15 +36,20 @@ def numbered_notes(rows: DataFrame) -> DataFrame:
     Each split counts its own lines and heads; what stands before a split is a
     sum over the splits before it, one narrow row for each.  So a line before
     the first head of its split belongs to the note that is open where the split
-    begins, and no file is one row or one window.
+    begins, and no file is one row or one window.  Rows without ``block`` are of
+    files of one split each, such as texts that are rows: nothing stands before it.
     """
-    own = Window.partitionBy("file", "block").orderBy("at")
-    counted = cut(rows.withColumn("_heads", F.sum(F.col("_head").cast("long")).over(own)).withColumn("_line", F.row_number().over(own) - 1), "import-lines")
+    parts = [c for c in ("file", "block") if c in rows.columns]
+    own = Window.partitionBy(*parts).orderBy("at")
+    counted = rows.withColumn("_heads", F.sum(F.col("_head").cast("long")).over(own)).withColumn("_line", F.row_number().over(own) - 1)
+    if "block" not in parts:
+        return counted.withColumnsRenamed({"_heads": "note_no", "_line": "line_no"}).drop("at")
+    counted = cut(counted, "import-lines")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = counted.groupBy("file", "block").agg(F.max("_heads").alias("_h"), F.count(F.lit(1)).alias("_l"))
     splits = splits.select("file", "block", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h"), F.coalesce(F.sum("_l").over(before), F.lit(0)).alias("_l"))
-    # one narrow row for each split of the files; where those are many, as with a file for each note, it is merged
-    placed = counted.join(cut(splits, "import-splits"), ["file", "block"])
+    # one narrow row for each split of the files
+    placed = counted.join(F.broadcast(cut(splits, "import-splits")), ["file", "block"])
     return placed.withColumn("note_no", F.col("_heads") + F.col("_h")).withColumn("line_no", F.col("_line") + F.col("_l")).drop("_heads", "_line", "_h", "_l", "block", "at")
 
 
@@ -60,7 +65,7 @@ def _time(stamp: Column) -> Column:
 
 
 def parse_export(lines: DataFrame, long_dates: bool = False, id_style: str = "content") -> DataFrame:
-    """file, note_no, id, content, type, ts of the notes in exported lines (file, block, at, line).
+    """file, note_no, id, content, type, ts of the notes in exported lines (file, block, at, line; no block: see :func:`numbered_notes`).
 
     A head line begins a note; the lines after it, trimmed and without blank
     ones, go on with it.  Lines that look like the export's own head are left

@@ -36,3 +36,7 @@ def _same(spark, folder, name):
 
 def test_roundtrip_of_odd_notes(spark, odd):
     _same(spark, odd, "import_export_roundtrip")
+
+
+def test_long_dates_of_odd_notes(spark, odd):
+    _same(spark, odd, "import_long_dates")
