@@ -215,11 +215,15 @@ def _fold(begin: str) -> str:
 def state_replay(spark, sf):
     """The state kept up by a stream of three batches: all notes, then every second one again, backwards, with some facts withdrawn.  All clicks are one key."""
     facts = views.fact_events(spark, sf).filter("polarity <> 'hypothesis'").withColumn("state_key", F.when(F.col("attribute") == "click", "everyone|click").otherwise(F.col("state_key")))
-    said = state.facts_struct(facts).groupBy("source_note_id", "state_key").agg(F.sort_array(F.collect_list(F.struct("fact_id", "fact"))).alias("all"))
-    said = cut(said.select(F.col("source_note_id").alias("note_id"), "state_key", F.transform("all", lambda x: x["fact"]).alias("facts")), "said")
-    number = _number(F.col("note_id"))
+    # of what a note says of a key two facts can count; both are found before a note's facts meet, when all are there and when some are withdrawn
+    number, withdrawn = _number(F.col("note_id")), ~F.col("polarity").isin("decision", "measurement", "plan")
+    told = state.facts_struct(facts).withColumnRenamed("source_note_id", "note_id")
+    time = F.when((number % 2 == 0) & ~withdrawn, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    top = ledger.two_best(told.withColumn("time", F.explode(time)), F.col("fact"), ["note_id", "state_key", "time"])
+    at = lambda t: F.transform(F.sort_array(F.collect_list(F.when(F.col("time") == t, F.struct("place", "best")))), lambda x: x["best"])
+    said = cut(top.groupBy("note_id", "state_key").agg(at(1).alias("facts"), at(2).alias("left")), "said")
     first = said.withColumn("seq", number + 1)
-    again = said.filter(number % 2 == 0).withColumn("seq", 1000 - number).withColumn("facts", F.filter("facts", lambda f: f["polarity"].isin("decision", "measurement", "plan")))
+    again = said.filter(number % 2 == 0).withColumn("seq", 1000 - number).withColumn("facts", F.col("left"))
     store = TableStore(spark, new_path(spark, "replay"), {"current_state": "state_key"})
     store.update(lambda c: c.replace("current_state", spark.createDataFrame([], fact_sync.STATE)))
     state.with_rocksdb(spark)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import STATE_POLARITIES
-from ..operators.fact_sync import _FACT, fold_key
+from ..operators import ledger
+from ..operators.fact_sync import _FACT, _beats, _from_history, state_after
 from ..shipping import ship
 from ..sources.store import Commit, TableStore
 from ..storage import cut
@@ -21,60 +22,104 @@ PREVIOUS = ("value_text", "claim", "as_of", "source_note_id")
 STATE = FACT + ", " + ", ".join(f"previous_{c} {_KINDS.get(c, 'string')}" for c in PREVIOUS)
 FACTS = "array<struct<" + ",".join(f"{c}:{_KINDS.get(c, 'string')}" for c in _FACT) + ">>"
 _FIELDS = [f.split()[0] for f in STATE.split(", ")]
+#: Notes that may come to a log, beyond as many as were in it, before it is written anew.
+SHORT_LOG = 64
 OUT = f"state_key string, gone boolean, {STATE}"
 
 
+#: With a state: how many notes were in the key's log when that was last written, and how many came since.
+HELD = f"live int, since int, {STATE}"
+#: An entry of a key's log: notes of a batch, and the facts that each now has of the key (none: it no longer speaks of it).
+ENTRY = f"said array<struct<note_id:string,facts:{FACTS}>>"
+#: Notes in an entry.
+ENTRY_NOTES = 256
+
+
 class KeyState(StatefulProcessor):
     """Folds the notes that touch a key in their order of arrival.
 
     The owner of a state may replace it by an older fact, so the fold is no
-    maximum.  A note's facts are held apart from the state: where the owner no
-    longer speaks of the key, the best of what the others say takes over.  They
-    are read only then.
+    maximum.  What the notes say is a log beside the state, to which a batch
+    appends once for each key: where the owner no longer speaks of the key, the
+    best of what the others say takes over.  The log is read only then, or to be
+    written anew without what was replaced, when as much came as there was.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", STATE)
-        # the facts of each note that speaks of the key, in flat typed columns, and how many there are
-        self.said = handle.getMapState("said", "note_id string, place int", FACT)
-        self.counts = handle.getMapState("counts", "note_id string", "n int")
+        self.state = handle.getValueState("state", HELD)
+        self.log = handle.getListState("log", ENTRY)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        held = dict(zip(_FIELDS, self.state.get(), strict=True)) if self.state.exists() else None
-        before, now = held, {}
+        had = self.state.get()
+        held = dict(zip(_FIELDS, had[2:], strict=True)) if had else None
+        before, now, others = held, {}, None
         for row in sorted(rows, key=lambda r: (r["seq"], r["note_id"])):
-            facts = list(row["facts"] or [])
-            now[row["note_id"]] = facts
-            told = [Row(fact=f, position=i, since=1, until=2) for i, f in enumerate(facts)]
-            if not facts and held is not None and held["source_note_id"] == row["note_id"]:
-                others = [self._fact(value) for (note, _), value in self.said.iterator() if note not in now]
-                told = [Row(fact=f, position=0, since=0, until=2) for f in [*others, *(f for some in now.values() for f in some)]]
-            held, _ = fold_key(held, [Row(seq=1, note_id=row["note_id"])], told)
-        for note, facts in now.items():
-            had = self.counts.getValue((note,))[0] if self.counts.containsKey((note,)) else 0
-            for place, fact in enumerate(facts):
-                self.said.updateValue((note, place), tuple(fact[c] for c in _FACT))
-            for place in range(len(facts), had):
-                self.said.removeKey((note, place))
+            note, facts = row["note_id"], [f for f in (row["best"], row["then"]) if f is not None]
+            now[note] = facts
             if facts:
-                self.counts.updateValue((note,), (len(facts),))
-            elif had:
-                self.counts.removeKey((note,))
+                best = row["own"] or facts[0]
+                if held is None or held["source_note_id"] == note or _beats(best, held):
+                    held = state_after(best, held)
+            elif held is not None and held["source_note_id"] == note:
+                if others is None:
+                    others = self._logged() if had else {}
+                held = _from_history([f for some in (others | now).values() for f in some], held)
+        if held is not None:
+            live, since = self._append(now, had, others)
+            self.state.update((live, since, *(held[c] for c in _FIELDS)))
+        elif had:  # no note says anything any more
+            self.state.clear()
+            self.log.clear()
         if held != before:
-            if held is None:
-                self.state.clear()
-            else:
-                self.state.update(tuple(held[c] for c in _FIELDS))
             yield Row(state_key=key[0], gone=held is None, **{c: None if held is None else held[c] for c in _FIELDS})
 
+    def _logged(self) -> dict[str, list[Row]]:
+        """What each note says, by the newest of its entries."""
+        return {note: [Row(*_FACT)(*f) for f in facts] for (said,) in self.log.get() for note, facts in said}
+
+    def _append(self, now: dict[str, list[Row]], had: tuple | None, others: dict[str, list[Row]] | None) -> tuple[int, int]:
+        """Log what the notes ``now`` say; gives how many notes were in the log when that was last written, and how many came since."""
+        if had and had[1] + len(now) <= had[0] + SHORT_LOG:
+            self.log.appendList(self._entries(now))
+            return had[0], had[1] + len(now)
+        if had and others is None:
+            others = self._logged()
+        said = {note: facts for note, facts in ((others or {}) | now).items() if facts}
+        self.log.put(self._entries(said))
+        return len(said), 0
+
     @staticmethod
-    def _fact(value: tuple) -> Row:
-        return Row(*_FACT)(*value)
+    def _entries(said: dict[str, list[Row]]) -> list[tuple]:
+        packed = [(note, [tuple(f[c] for c in _FACT) for f in facts]) for note, facts in said.items()]
+        return [(packed[i : i + ENTRY_NOTES],) for i in range(0, len(packed), ENTRY_NOTES)]
 
     def close(self) -> None:
         pass
 
 
+def telling(facts: Column) -> Column:
+    """Of all the facts that a note has of a key, those that a state can be made of: (own, best, then).
+
+    ``best`` is the first by time, polarity, confidence and id, ``then`` the first that
+    differs from it in value or time: of any notes' facts together, both of these
+    are among those of each.  ``own`` is the first by place instead of by id, null if the same.
+    One pass, so a note may have any number of facts.
+    """
+    rank = lambda f: F.struct(f["as_of"], ledger.winner_rank(f["polarity"]), f["confidence"])
+    apart = lambda a, b: ~(a["value_text"].eqNullSafe(b["value_text"]) & a["as_of"].eqNullSafe(b["as_of"]))
+    beats = lambda a, b: b.isNull() | (rank(a) > rank(b)) | ((rank(a) == rank(b)) & (a["fact_id"] < b["fact_id"]))
+
+    def merge(told: Column, f: Column) -> Column:
+        own, best, then = told["own"], told["best"], told["then"]
+        wins, differs = beats(f, best), best.isNotNull() & apart(f, best)
+        second = F.when(wins & differs, best).when(~wins & differs & beats(f, then), f).otherwise(then)
+        return F.struct(F.when(own.isNull() | (rank(f) > rank(own)), f).otherwise(own).alias("own"), F.when(wins, f).otherwise(best).alias("best"), second.alias("then"))
+
+    none = F.lit(None).cast(FACTS[len("array<") : -1])
+    finish = lambda t: F.struct(F.when(t["own"] != t["best"], t["own"]).alias("own"), t["best"].alias("best"), t["then"].alias("then"))
+    return F.aggregate(F.coalesce(facts, F.array().cast(FACTS)), F.struct(none.alias("own"), none.alias("best"), none.alias("then")), merge, finish)
+
+
 def facts_struct(facts: DataFrame) -> DataFrame:
     """``facts`` with ``fact``, the struct that the state is made of; missing columns are null."""
     have = set(facts.columns)
@@ -87,13 +132,13 @@ def note_state(extracts: DataFrame) -> DataFrame:
 
     ``extracts`` (a stream): state_key, note_id, seq and facts, all the facts
     that a note now has of the key (none: it no longer speaks of it), in the
-    order of ``seq``.  A batch's rows of one key are held by one task, so the
+    order of ``seq``; at most three of them leave their row.  A batch's rows of one key are held by one task, so the
     size of a batch (``maxFilesPerTrigger``) bounds it.  Needs the RocksDB state
     store (see :func:`with_rocksdb`).
     """
     ship(extracts.sparkSession)
-    typed = extracts.select("state_key", F.col("note_id").cast("string").alias("note_id"), F.col("seq").cast("long").alias("seq"), F.col("facts").cast(FACTS).alias("facts"))
-    out = typed.groupBy("state_key").transformWithState(KeyState(), OUT, "Update", "None")
+    typed = extracts.select("state_key", F.col("note_id").cast("string").alias("note_id"), F.col("seq").cast("long").alias("seq"), telling(F.col("facts").cast(FACTS)).alias("t"))
+    out = typed.select("state_key", "note_id", "seq", "t.*").groupBy("state_key").transformWithState(KeyState(), OUT, "Update", "None")
     times = {c: F.timestamp_micros(c) for c in ("as_of", "previous_as_of")}
     return out.withColumns(times)
 
