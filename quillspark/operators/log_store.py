@@ -8,7 +8,7 @@ notes are as they were.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import Commit, Snapshot, TableStore
-from ..storage import cut
+from ..storage import Scratch, cut
 from . import message_log, note_index
 
 #: The tables and the column by which rows of each are replaced.
@@ -54,7 +54,11 @@ def _stamp(commit: Commit, total: int, clock: str, **more: Any) -> None:
 
 def _index_if_changed(commit: Commit, messages: DataFrame) -> bool:
     """Bring the note index in step, unless the notes' fingerprint is that of the last commit."""
-    notes = note_index.project_notes(messages)
+    return _index_of(commit, note_index.project_notes(messages))
+
+
+def _index_of(commit: Commit, notes: DataFrame) -> bool:
+    """The same, of the log's notes (note_id, content_hash)."""
     print_ = note_index.fingerprint(notes).first()["fingerprint"]
     same = print_ == commit.stamps.get("note_index_fingerprint")
     if not same:
@@ -83,16 +87,23 @@ def post(store: TableStore, messages: DataFrame, clock: str, force: bool = False
     Without ``force`` one of less than half as many messages is refused.
     """
     out: list[Saved] = []
-    incoming = cut(_typed(messages), "posted")
-    n = incoming.count()
+    posted: list[tuple[DataFrame, int]] = []
 
     def change(commit: Commit) -> None:
         old = commit.stamps.get("total_messages", 0)
-        if not force and old > 0 and n < 0.5 * old:
-            raise Refused(f"Save blocked: would reduce messages from {old} to {n}. Use force to override.", old)
-        # what is posted is written already; only a merge is new
-        merged = incoming if force or not commit.exists("messages") else cut(_merged(commit.read("messages"), incoming), "merged")
-        total = commit.replace("messages", merged)
+        if force or not commit.exists("messages"):
+            # nothing to compare or merge with: what is posted is written as the table, and nowhere else
+            total = commit.replace("messages", _typed(messages))
+            merged = commit.after("messages")
+        else:
+            if not posted:
+                incoming = cut(_typed(messages), "posted")
+                posted.append((incoming, incoming.count()))
+            incoming, n = posted[0]
+            if old > 0 and n < 0.5 * old:
+                raise Refused(f"Save blocked: would reduce messages from {old} to {n}. Use force to override.", old)
+            merged = cut(_merged(commit.read("messages"), incoming), "merged")
+            total = commit.replace("messages", merged)
         _stamp(commit, total, clock)
         out[:] = [Saved(True, total, _index_if_changed(commit, merged))]
 
@@ -149,27 +160,46 @@ class Imported:
     total: int
 
 
-def import_notes(store: TableStore, notes: DataFrame, clock: str, source: str = "import") -> Imported:
+def import_notes(store: TableStore, notes: DataFrame, clock: str, source: str = "import", read: Callable[[], None] = lambda: None) -> Imported:
     """Add notes that were read back (id, content, type, ts, note_no) to the log.
 
     Of messages of one type and equal first 200 units one stays, a stored one
-    before an imported one, then the first.  The note index follows in the same
-    commit, which says what was imported and when.
+    before an imported one, then the first.  The stored log is compared by these
+    keys, and only what is new, and what stays of stored messages that are there twice,
+    is written.  The note index follows in the same commit, which says what was
+    imported and when.  ``read`` is called when ``notes`` is not needed any more.
     """
     out: list[Imported] = []
-    incoming = cut(_typed(notes.withColumn("source", F.lit(source)).withColumn("ord", F.col("note_no"))), "imported")
+    scratch = Scratch(store.spark)
+    with scratch:
+        incoming = cut(_typed(notes.withColumn("source", F.lit(source)).withColumn("ord", F.col("note_no"))), "imported")
     parsed = incoming.count()
+    read()
 
     def change(commit: Commit) -> None:
-        existing = commit.read("messages") if commit.exists("messages") else store.spark.createDataFrame([], MESSAGES)
-        side = lambda df, n: df.drop("message_key").withColumn("_new", F.lit(n))
-        merged = cut(message_log.prefix_dedupe(side(existing, 0), side(incoming, 1)).drop("dedupe_key"), "import-merged")
-        total = commit.replace("messages", _typed(merged))
+        if not commit.exists("messages"):
+            commit.replace("messages", store.spark.createDataFrame([], MESSAGES))
+        existing, of_key = commit.after("messages"), message_log.prefix_key().alias("dedupe_key")
+        keyed = existing.select("message_key", of_key)
+        doubled = keyed.groupBy("dedupe_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("dedupe_key")
+        # rows are replaced by key, so all of a key are taken up where one is there twice
+        drops = cut(keyed.join(doubled, "dedupe_key", "left_semi").select("message_key").distinct(), "import-doubled")
+        before = keyed.select("message_key").join(drops, "message_key", "left_semi").count()
+        kept = cut(_typed(message_log.prefix_dedupe(existing.join(drops, "message_key", "left_semi").drop("message_key"))), "import-kept")
+        fresh = incoming.select("*", of_key).join(keyed.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
+        added = _typed(message_log.prefix_dedupe(fresh.drop("message_key", "dedupe_key")))
+        total, n_kept = existing.count(), kept.count()
+        told = lambda df: note_index.project_notes(df, "message_key").select("message_key", "note_id", "content_hash")
+        left = told(existing).join(drops, "message_key", "left_anti")
+        n, _ = commit.change("messages", kept.unionByName(added), drops if before else None)
+        total += n - before
         _stamp(commit, total, clock, imported_from=source, imported_at=clock)
-        _index_if_changed(commit, merged)
-        out[:] = [Imported(parsed, merged.filter("_new = 1").count(), total)]
+        _index_of(commit, cut(left.unionByName(told(commit.newest("messages"))).drop("message_key"), "import-notes"))
+        out[:] = [Imported(parsed, n - n_kept, total)]
 
-    store.update(change)
+    with scratch:
+        store.update(change)
+    scratch.clear()
     return out[0]
 
 

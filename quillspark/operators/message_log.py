@@ -149,13 +149,19 @@ def history_summary(turns: DataFrame, entries: int = 6, each: int = 300, total:
     return lines.select("ord", "line", (upto - F.when(start > 1, 1).otherwise(0)).alias("chars")).filter(F.col("chars") <= total)
 
 
-def prefix_dedupe(existing: DataFrame, incoming: DataFrame, order: str = "ord", limit: int = 200) -> DataFrame:
+def prefix_key(limit: int = 200) -> Column:
+    """The type and the first ``limit`` UTF-16 units, by which messages are the same."""
+    return F.concat(F.coalesce("type", F.lit("note")), F.lit(":"), utf16_prefix(js_trim(F.coalesce("content", F.lit(""))), limit))
+
+
+def prefix_dedupe(existing: DataFrame, incoming: DataFrame | None = None, order: str = "ord", limit: int = 200) -> DataFrame:
     """One message for each type and first ``limit`` UTF-16 units; existing before incoming, then the first."""
-    sides = existing.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
-    key = F.concat(F.coalesce("type", F.lit("note")), F.lit(":"), utf16_prefix(js_trim(F.coalesce("content", F.lit(""))), limit))
+    sides = existing.withColumn("_side", F.lit(0))
+    if incoming is not None:
+        sides = sides.unionByName(incoming.withColumn("_side", F.lit(1)))
     columns = [c for c in existing.columns if c != order]
     first = F.min(F.struct("_side", order, *columns)).alias("_m")
-    return sides.groupBy(key.alias("dedupe_key")).agg(first).select("dedupe_key", F.col(f"_m.{order}").alias(order), *[F.col(f"_m.{c}").alias(c) for c in columns])
+    return sides.groupBy(prefix_key(limit).alias("dedupe_key")).agg(first).select("dedupe_key", F.col(f"_m.{order}").alias(order), *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
 def batch_counts(log: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:

@@ -9,8 +9,8 @@ from ..functions.text import iso, js_trim, utf16_length
 from ..storage import cut
 
 
-def project_notes(messages: DataFrame) -> DataFrame:
-    """note_id, content, content_hash, note_ts, content_length of the notes that aren't blank."""
+def project_notes(messages: DataFrame, *more: str) -> DataFrame:
+    """note_id, content, content_hash, note_ts, content_length (and ``more`` columns) of the notes that aren't blank."""
     content = js_trim(F.col("content"))
     own_id = F.when(js_trim(F.coalesce("id", F.lit(""))) != "", F.col("id"))
     return messages.filter((F.col("type") == "note") & (content != "")).select(
@@ -19,6 +19,7 @@ def project_notes(messages: DataFrame) -> DataFrame:
         F.sha1(content).alias("content_hash"),
         F.col("ts").alias("note_ts"),
         utf16_length(content).alias("content_length"),
+        *more,
     )
 
 

@@ -184,6 +184,15 @@ class Commit:
     def read(self, table: str) -> DataFrame:
         return self.store.read(table, self.base)
 
+    def after(self, table: str) -> DataFrame:
+        """The rows of a table as this commit leaves them so far."""
+        return self.store._merged(table, self.tables[table])
+
+    def newest(self, table: str) -> DataFrame:
+        """The rows that the table's newest layer adds."""
+        held = self.tables[table]
+        return self.store._merged(table, held | {"layers": held["layers"][-1:]})
+
     def exists(self, table: str) -> bool:
         return table in self.base.tables
 
