@@ -199,7 +199,7 @@ class Commit:
     def _write(self, df: DataFrame) -> tuple[str, int]:
         name, seen = uuid.uuid4().hex, Observation()
         self.written.append(name)
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.store.path}/data/{name}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(f"{self.store.path}/data/{name}")
         return name, seen.get["n"]
 
     def replace(self, table: str, df: DataFrame) -> int:
